@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import token_counts
+from . import chat, packing, token_counts, token_store
 
 QUERIES = {
+    "op4_token_store": token_store.query,
+    "op7_chat_format": chat.query,
+    "op9_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_chat_format": chat.ORACLE,
+}
