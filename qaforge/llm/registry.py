@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat, packing, token_counts, token_store
+from . import chat, decontamination, packing, substring_dedup, token_counts, token_store, top_k
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.query,
     "op4_token_store": token_store.query,
+    "op5_top_k_search": top_k.query,
     "op7_chat_format": chat.query,
+    "op8_decontamination": decontamination.query,
     "op9_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_top_k_search": top_k.ORACLE,
     "op7_chat_format": chat.ORACLE,
+    "op8_decontamination": decontamination.ORACLE,
 }
