@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, packing, substring_dedup, token_counts, token_store, top_k
+from . import chat, decontamination, ngram_join, packing, substring_dedup, token_counts, token_store, top_k
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_token_store": token_store.query,
     "op5_top_k_search": top_k.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op5_top_k_search": top_k.ORACLE,
     "op7_chat_format": chat.ORACLE,

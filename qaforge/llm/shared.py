@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,6 +57,12 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so as the driver's garbage goes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_rest(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
