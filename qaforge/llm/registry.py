@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, ngram_join, packing, substring_dedup, token_counts, token_store, top_k
+from . import chat, decontamination, ngram_join, packing, substring_dedup, token_counts, token_store, top_k, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_toxicity": toxicity.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_token_store": token_store.query,
     "op5_top_k_search": top_k.query,
