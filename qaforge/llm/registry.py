@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, ngram_join, packing, substring_dedup, token_counts, token_store, top_k, toxicity
+from . import chat, decontamination, language_model, ngram_join, packing, substring_dedup, token_counts, token_store, top_k, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.query,
     "op4_token_store": token_store.query,
     "op5_top_k_search": top_k.query,
+    "op6_language_model": language_model.query,
     "op7_chat_format": chat.query,
     "op8_decontamination": decontamination.query,
     "op9_best_fit_packing": packing.query,
