@@ -10,7 +10,8 @@ A looked-up segment may be skipped (worth 0), matched exactly (worth 1), or matc
 Small contents are shared by many sets, so by a cost that falls with a segment's size the smallest segments are skipped,
 paid for by spare segments and by one-deletion neighbourhoods of the first segments of the band, which are indexed too.
 
-Candidates are verified exactly on the shingle sets. Within a list, every member is first compared with one centre, which
+Two sets' bit maps of shingle parities differ in no more places than the sets do in shingles; that bound drops most pairs
+before their sets are fetched. Candidates are verified exactly on the shingle sets. Within a list, every member is first compared with one centre, which
 is linear; then members that are still in different components are compared with each other. So components are exact
 and no group of near copies is expanded into its pairs.
 
@@ -34,6 +35,8 @@ from .shared import doc_text, release, table, written
 BOTH, INDEXED, LOOKED_UP = 0, 1, 2
 #: Rows up to which a side is broadcast; beyond it, Spark shuffles both.
 BROADCAST_ROWS = 1_000_000
+#: 64-bit words of a parity map.
+MAP_WORDS = 16
 _PRIMES = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -114,6 +117,15 @@ def _digests(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
+def _parities(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set, the parity of the number of its shingles in each of 64 * MAP_WORDS classes, as 64-bit integers."""
+    bits = 64 * MAP_WORDS
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = own * bits + (words.mix(sets ^ np.uint64(0xBE5466CF34E90C6C)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=(len(first) - 1) * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def _key(content: np.ndarray, band: int, segment: np.ndarray) -> np.ndarray:
     return words.mix(words.mix(content) + (segment.astype(np.uint64) + np.uint64(1)) * _PRIMES[1] + np.uint64((band + 1) * int(_PRIMES[2]) & (1 << 64) - 1))
 
@@ -174,16 +186,16 @@ def _ids(docs: DataFrame) -> DataFrame:
 
 
 def set_digests(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """doc_id, n_shingles and the set's digest (d1, d2) of each row."""
+    """doc_id, n_shingles, the set's digest (d1, d2) and its parity map of each row."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in words.groups(batch.column("text")):
                 sets, first = shingle_sets(part, scheme.n)
                 d1, d2 = _digests(sets, first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(np.diff(first)), pa.array(d1), pa.array(d2)], ["doc_id", "n_shingles", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(np.arange(0, len(part) * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32), _parities(sets, first))], ["doc_id", "n_shingles", "d1", "d2", "map"])
 
-    return doc_text(docs).mapInArrow(digest, "doc_id long, n_shingles long, d1 long, d2 long")
+    return doc_text(docs).mapInArrow(digest, "doc_id long, n_shingles long, d1 long, d2 long, map array<long>")
 
 
 def _entries(docs: DataFrame, scheme: Scheme) -> DataFrame:
@@ -260,6 +272,14 @@ def _near(scheme: Scheme, a, b):
     return scheme.whole * F.least(a, b) >= scheme.part * F.greatest(a, b)
 
 
+def _may_link(scheme: Scheme, a, b, map_a, map_b):
+    """Whether sizes and parity maps allow a link."""
+    apart = F.bit_count(map_a[0].bitwiseXOR(map_b[0]))
+    for i in range(1, MAP_WORDS):
+        apart = apart + F.bit_count(map_a[i].bitwiseXOR(map_b[i]))
+    return _near(scheme, a, b) & ((scheme.whole + scheme.part) * apart <= (scheme.whole - scheme.part) * (a + b))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
     """The linked ones of pairs (u, v) of doc_ids, by their shingle sets."""
     pairs = written(pairs.distinct(), "pairs")
@@ -294,40 +314,41 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     scheme = scheme or Scheme()
     infos = written(set_digests(docs, scheme), "sets-digested")
     classes = infos.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    placed = written(infos.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "node"), "placed")
+    placed = written(infos.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["d1", "d2"]).select("doc_id", F.col("n_shingles").cast("int").alias("n_shingles"), "node", "map"), "placed")
     # Rows of one id may have different sets.
     by_id = placed.groupBy("doc_id").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v < w").select("doc_id", "v")
     same_id = placed.join(by_id, "doc_id").select(F.col("node").alias("u"), "v")
 
     lists = written(_lists(_entries(docs, scheme)), "lists")
     release(docs.sparkSession)
-    node_of = placed.select("doc_id", "node").distinct()
+    sets_of = placed.select("doc_id", "node", "map").distinct()
     # Lists of empty segments count only where someone looked one up.
     empties = lists.where("role >= 10")
     used = empties.groupBy("key").agg(F.min(F.least("role", "center_role")).alias("best"), F.max(F.greatest("role", "center_role")).alias("last")).where(f"best = {BOTH + 10} OR last = {LOOKED_UP + 10}").select("key")
     lists = lists.where("role < 10").unionByName(empties.join(used, "key", "left_semi").withColumns({"role": (F.col("role") - 10).cast("byte"), "center_role": (F.col("center_role") - 10).cast("byte")}))
 
-    star = lists.where(_meets(F.col("center_role"), F.col("role")) & _near(scheme, F.col("center_n"), F.col("n"))).select("center", "node").distinct()
-    star = star.withColumnRenamed("node", "doc_id").join(node_of, "doc_id").select("center", "node")
-    star = star.withColumnRenamed("center", "doc_id").join(node_of.withColumnRenamed("node", "center"), "doc_id")
-    first = _verified(star.where("center <> node").select(F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v")), docs, scheme)
+    star = lists.where(_meets(F.col("center_role"), F.col("role")) & _near(scheme, F.col("center_n"), F.col("n"))).select("center", "center_n", "node", "n").distinct()
+    left, right = (sets_of.select(F.col("doc_id").alias(c), F.col("node").alias(v), F.col("map").alias(f"map_{v}")) for c, v in (("center", "u"), ("node", "v")))
+    star = star.join(left, "center").join(right, "node").where(F.col("u") != F.col("v")).where(_may_link(scheme, F.col("center_n"), F.col("n"), F.col("map_u"), F.col("map_v")))
+    star = written(star.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "star")
+    first = _verified(star, docs, scheme)
     labels = written(components(first.unionByName(same_id)), "labels")
 
     # Members of a list that the star has not joined: compare them across components.
     members = lists.select("key", F.col("node").alias("doc_id"), "n", "role").unionByName(lists.select("key", F.col("center").alias("doc_id"), F.col("center_n").alias("n"), F.col("center_role").alias("role")).distinct())
-    labelled = members.join(node_of, "doc_id").join(labels, "node", "left").select("key", "node", "n", "role", F.coalesce("root", "node").alias("root"), (F.col("doc_id")).alias("doc_id"))
-    labelled = written(labelled.distinct(), "members")
+    node_of = placed.select("doc_id", "node").distinct()
+    labelled = written(members.join(node_of, "doc_id").join(labels, "node", "left").select("key", "node", "n", "role", F.coalesce("root", "node").alias("root"), "doc_id").distinct(), "members")
     split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high AND size > 2").select("key")
-    rest = labelled.join(split, "key")
+    rest = labelled.join(split, "key").join(sets_of.drop("node"), "doc_id").drop("doc_id")
     a, b = rest.alias("a"), rest.alias("b")
-    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _meets(F.col("a.role"), F.col("b.role")) & _near(scheme, F.col("a.n"), F.col("b.n")))
+    allowed = _meets(F.col("a.role"), F.col("b.role")) & _may_link(scheme, F.col("a.n"), F.col("b.n"), F.col("a.map"), F.col("b.map"))
+    crossing = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & allowed)
     crossing = crossing.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-    tested = star.select(F.least("center", "node").alias("u"), F.greatest("center", "node").alias("v"))
-    second = _verified(crossing.join(tested, ["u", "v"], "left_anti"), docs, scheme)
+    second = _verified(crossing.join(star, ["u", "v"], "left_anti"), docs, scheme)
     release(docs.sparkSession)
     roots = components(first.unionByName(second).unionByName(same_id))
 
-    linked = placed.join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("component_id"))
+    linked = placed.join(roots, "node", "left").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
     return linked.unionByName(infos.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
