@@ -20,7 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Without labels of both classes nothing is rejected, as all score 0.5.
     """
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.with_scores(docs.withColumn("_text", F.col("text")), model).where("predicted = 0").select(*docs.columns)
+    return toxicity.with_scores(docs, model, score_col="_score", predicted_col="_predicted").where("_predicted = 0").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier place has."""
-    return substring_dedup.without_repeats(docs).select(*docs.columns)
+    return substring_dedup.without_repeats(docs, removed_col="_spans").select(*docs.columns)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

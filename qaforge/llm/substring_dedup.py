@@ -60,10 +60,10 @@ def repeated_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
     return later.select("doc_id", "text_hash", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """docs without the lines of repeated_spans (and their line breaks), with `removed`: line, start and end of each.
+def without_repeats(docs: DataFrame, min_words: int = 10, removed_col: str = "removed") -> DataFrame:
+    """docs without the lines of repeated_spans (and their line breaks), with removed_col: line, start and end of each.
 
-    All rows and all other columns stay; a column `removed` is replaced. A document of which nothing is left has an empty
+    All rows and all other columns stay; a column of that name is replaced. A document of which nothing is left has an empty
     text; a null text stays null. `n_chars`, where there is one, follows the text.
     """
     spans = repeated_spans(docs, min_words)
@@ -80,8 +80,8 @@ def without_repeats(docs: DataFrame, min_words: int = 10) -> DataFrame:
         return pa.array(out, pa.string())
 
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.drop("removed").join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_hash")), "left").drop("_doc", "_hash")
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest("text", "_removed"))).withColumnRenamed("_removed", "removed")
+    out = docs.drop(removed_col).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_hash")), "left").drop("_doc", "_hash")
+    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest("text", "_removed"))).withColumnRenamed("_removed", removed_col)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 

@@ -187,11 +187,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     return model
 
 
-def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 if the score reaches the threshold).
+def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """docs with a score (0 to 1) and a prediction (1 if the score reaches the threshold) in the columns so named.
 
-    Only the text is looked at. Null and empty texts are scored by the bias. All rows and other columns stay; columns named
-    score or predicted are replaced. Texts of any length are scored whole.
+    Only the text is looked at. Null and empty texts are scored by the bias. All rows and other columns stay; columns of
+    these two names are replaced. Texts of any length are scored whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.s.astype(np.float32), model.bias))  # BUCKETS numbers
 
@@ -202,8 +202,8 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFr
         for batch in batches:
             yield pa.array(np.concatenate([own.score(g) for g in pieces.in_groups(batch.to_pylist())] or [np.zeros(0)]), pa.float64())
 
-    scored = docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.withColumn(score_col, score(F.coalesce(F.col("text"), F.lit(""))))
+    return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def learnable(labels: DataFrame) -> DataFrame:
