@@ -1,0 +1,299 @@
+"""Joins, searches, models and the pipeline against brute force, with odd rows."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from qaforge.llm import decontamination, language_model, ngram_join, shared, top_k, toxicity
+from qaforge.llm.components import components
+
+DOCS = "doc_id long, text string"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def lower(t):
+    return t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def spaced(t):
+    return re.findall("[^\x20\x09-\x0d]+", lower(t or ""))
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)] + [(300, i) for i in range(301, 360)] + [(7, 7)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in list(parent) if root(x) != x}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def near_corpus():
+    """Bases with copies at many distances, so that groups hang together by chains, and a passage that many share."""
+    rng = random.Random(2)
+    texts = []
+    common = " ".join(rng.choice(WORDS) for _ in range(50))
+    for _ in range(14):
+        base = [rng.choice(WORDS) for _ in range(rng.choice([3, 5, 8, 12, 30, 90, 250]))]
+        for _ in range(rng.randint(1, 14)):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 18))):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 1)
+            texts.append(" ".join(w) if rng.random() < 0.9 else " \n".join(w).upper())
+            base = w if rng.random() < 0.4 else base
+    texts += [common + " " + " ".join(rng.choice(WORDS) for _ in range(n)) for n in (3, 5, 9, 60, 61)] + [None, "", " \t", "W1", "w1", "w1 w2 w3", "w1 w2 w3 w4", "é ü"] + texts[:4]
+    rng.shuffle(texts)
+    return texts
+
+
+def brute_force(rows, n, part, whole):
+    def of(t):
+        w = spaced(t)
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+    sets = [(i, of(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            common = len(a & b)
+            if common and whole * common >= part * (len(a) + len(b) - common):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return sorted((i, len(s), root(i)) for i, s in sets)
+
+
+@pytest.mark.parametrize("scheme", [ngram_join.Scheme(), ngram_join.Scheme(5, 4, 5)])
+def test_near_duplicates(spark, scheme):
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(near_corpus())]
+    rows += [(rows[5][0], rows[40][1]), (rows[6][0], rows[6][1])]  # an id with two texts, and a repeated row
+    df = spark.createDataFrame(rows, DOCS).withColumns({"n": F.lit("own"), "node": F.lit("own"), "key": F.lit(1)})
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(df, scheme).collect())
+    assert got == brute_force(rows, scheme.n, scheme.part, scheme.whole)
+
+
+def test_near_duplicates_without_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (3, None)], DOCS)
+    assert sorted((tuple(r) for r in ngram_join.near_duplicates(df).collect()), key=repr) == sorted([(None, 2, None), (None, 2, None), (3, 0, 3)], key=repr)
+    assert ngram_join.near_duplicates(df.limit(0)).count() == 0
+
+
+def hits(doc, items, window):
+    words_of = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+    d, hit, found = words_of(doc), set(), set()
+    for item, t in items:
+        w = words_of(t)
+        n = min(window, len(w))
+        wanted = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+        for i in range(len(d) - n + 1) if n else ():
+            if tuple(d[i : i + n]) in wanted:
+                hit.update(range(i, i + n))
+                found.add(str(item))
+    return len(d), len(hit), len(found), ",".join(sorted(found))
+
+
+def contaminated_corpus():
+    rng = random.Random(4)
+    pick = lambda n, k=60: [rng.choice(WORDS[:k]) for _ in range(n)]
+    items = [(i, " ".join(pick(rng.choice([1, 3, 12, 13, 14, 40])))) for i in range(12)] + [(3, "w1 w2 w3"), (50, None), (51, " .,"), (52, "the The THE the the the the the the the the the the the the")]
+    docs = []
+    for i in range(60):
+        w = pick(rng.choice([0, 5, 40, 200]))
+        for _ in range(rng.randint(0, 3)):
+            t = rng.choice(items)[1] or ""
+            v = t.split()
+            a = rng.randint(0, max(0, len(v) - 13))
+            w[(at := rng.randint(0, len(w))) : at] = v[a : a + rng.choice([12, 13, 20, 99])]
+        docs.append((i, rng.choice([" ", ", ", "\n"]).join(w).title()))
+    return docs + [(60, None), (61, ""), (5, docs[5][1]), (5, "the " * 30), (None, docs[1][1])], items
+
+
+@pytest.mark.parametrize("part_bytes", [None, 100])
+def test_contamination(spark, monkeypatch, part_bytes):
+    import hashlib
+
+    if part_bytes:
+        monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
+    docs, items = contaminated_corpus()
+    df = spark.createDataFrame(docs, DOCS).withColumns({"terms": F.lit("own"), "item": F.lit("own")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((tuple(r)[:1] + tuple(r)[2:] for r in decontamination.contamination(df, bench).collect()), key=repr)
+    want = []
+    for i, t in docs:
+        n, hit, n_items, names = hits(t, items, 13)
+        want.append((i, n, hit, n_items, hashlib.sha256(names.encode()).hexdigest(), hit > 0 and 20 * hit >= n))
+    assert got == sorted(want, key=repr)
+
+
+def test_contamination_of_nothing(spark):
+    docs = spark.createDataFrame([(1, "a b")], DOCS)
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r["n_words"] for r in decontamination.contamination(docs, none).collect()] == [2]
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert decontamination.contamination(docs.limit(0), some).count() == 0
+
+
+def test_proximity(spark):
+    item = " ".join(WORDS[:20])
+    near = " ".join([*WORDS[:9], "other", *WORDS[9:20]])
+    docs = spark.createDataFrame([(1, "x y " + near), (2, "x y z"), (3, " ".join(reversed(WORDS[:20]))), (4, item)], DOCS)
+    got = {r["doc_id"] for r in decontamination.proximity_matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string"), slop=2).collect()}
+    assert got == {1, 4}
+
+
+def test_max_score_is_exact(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 12)))]
+    rows += [(300 + i, rows[i % 5][1]) for i in range(30)]  # ties
+    rows += [(400, None), (500, [1.0] * 11 + [None]), (600, [float("nan")] * 12), (700, [float("inf")] * 12), (800, [0.5] * 3), (900, []), (None, [1.0] * 12), (200, [0.1] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit("own"))
+    q = top_k.quantised(df)
+    got = {}
+    for r in sorted(top_k.top_k(q, q.where("vec_id % 100 = 0")).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["score"], -r["vec_id"]))
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for i, v in vectors:
+        if i % 100 == 0 and i != 200:
+            want = sorted(((sum(a * b for a, b in zip(v, w)), -j) for j, w in vectors if j != i), reverse=True)[:10]
+            assert got[i] == want, i
+    assert top_k.top_k(q.limit(0), q.limit(0)).count() == 0
+    few = q.where("vec_id < 4")
+    assert top_k.top_k(few, few.where("vec_id = 0")).count() == 3
+    with pytest.raises(Exception, match="too large"):
+        top_k.quantised(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_language_model(spark, monkeypatch):
+    rng = random.Random(8)
+    tongues = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
+    docs = [(i, " ".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (302, "Never SEEN " * 3), (303, "a1 " * 4000), (7, "a1 b2"), (None, "a1")]
+    monkeypatch.setattr(language_model, "HEAD", 20)  # most words are joined
+    df = spark.createDataFrame(docs, DOCS).withColumns({"score": F.lit("own"), "hash": F.lit("own"), "text": F.coalesce("text", F.lit(""))})
+    train = [(i, t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    model = language_model.fit(df.where(F.coalesce(shared.crc_rest(F.col("doc_id"), 7) != 2, F.lit(False))).select("text"))
+    c = Counter(w for _, t in train for w in [*spaced(t), 0])
+    n, v = sum(c.values()), len(c)
+    assert model.vocabulary.n == n and model.vocabulary.v == v
+    rows = language_model.scores(df, model).collect()
+    want = sorted((repr(i), len(spaced(t)) + 1, sum(c[w] > 0 for w in [*spaced(t), 0])) for i, t in docs)
+    assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"]) for r in rows) == want
+    text = dict(docs)
+    for r in rows:
+        if r["doc_id"] not in (7, None):
+            base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in [*spaced(text[r["doc_id"]]), 0])
+            assert r["base_score"] == pytest.approx(base, rel=1e-9)
+    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] < 300 and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # P(class | history) and P(word | class) both sum to one.
+    vocabulary = model.vocabulary
+    rows_of = language_model._rows(language_model.Tokens(__import__("pyarrow").array(["a1 b2 c"])))
+    assert np.exp(language_model._log_softmax(model.weights, model.bias, rows_of)).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    within = 10.0 ** -vocabulary.within[vocabulary.classes] * (vocabulary.counts[: len(vocabulary.classes)] + 1)
+    sums = np.bincount(vocabulary.classes, within, language_model.CLASSES)
+    assert all(s == pytest.approx(1) for s in sums[:-1] if s)
+    assert language_model.scores(df.limit(0), model).count() == 0
+
+
+def test_language_model_of_nothing(spark):
+    df = spark.createDataFrame([(1, "a b")], DOCS)
+    model = language_model.fit(df.limit(0).select("text"))
+    r = language_model.scores(df, model).first()
+    assert (r["n_tokens"], r["n_known"], r["base_score"]) == (3, 0, 0.0)
+
+
+def toxic_corpus(n=500, seed=5):
+    rng = random.Random(seed)
+    syllables = ["an", "the", "or", "in", "re", "ti", "on", "sh", "er", "ble", "ou", "ha"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for i in range(n):
+        bad, w = rng.random() < 0.3, [word() for _ in range(rng.randint(5, 200))]
+        for _ in range(rng.randint(1, 3) if bad else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["moron", "disgusting", "worthless", "pathetic"]))
+        rows.append((i, " ".join(w), int(bad)))
+    return rows
+
+
+def test_toxicity(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "!?"), (None, "moron")], DOCS).withColumns({"score": F.lit("own"), "toxic": F.lit(9)})
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5000, 1), (901, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), toxicity.learnable(labels))
+    again = toxicity.fit(docs.drop("toxic").repartition(5), toxicity.learnable(labels))
+    assert np.array_equal(model.s, again.s) and model.bias == again.bias
+    got = {r["doc_id"]: r for r in toxicity.with_scores(docs, model).collect()}
+    held = [(got[i]["predicted"], y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(p == y for p, y in held) >= 0.97 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in got.values()) and got[900]["score"] == got[901]["score"] == got[902]["score"] < 0.7
+    # Unseen misspellings share n-grams with the words they stand for.
+    plain = "the anor inre tion sher ouble hatherer "
+    spelt = model.score([plain + w for w in ("disgustng", "worthles", "patheticc")])
+    assert spelt.min() > 0.7 > 0.3 > model.score([plain + "orinsher"])[0]
+    assert toxicity.with_scores(docs.limit(0), model).count() == 0
+    assert toxicity.fit(docs.drop("toxic"), labels.limit(0)).score(["moron"])[0] == 0.5
+
+
+def test_only_the_text_counts(spark):
+    rows = toxic_corpus(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    other = labels.withColumn("toxic", F.when(shared.crc_rest(F.col("doc_id"), 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.fit(docs, toxicity.learnable(x)) for x in (labels, other))
+    assert np.array_equal(a.s, b.s) and a.bias == b.bias
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = toxic_corpus(500, 11)
+    clean = [r for r in rows if not r[2]]
+    item = " ".join(WORDS[:30])
+    passage = " ".join(rng.choice(WORDS) for _ in range(60))
+    base = " ".join(rng.choice(WORDS) for _ in range(120))
+    extra = [(1000, base), (1001, base + " w1"), (1002, base), (1003, item + " w1 w2"), (1004, f"{passage}\n" + " ".join(WORDS[100:160])), (1005, f"{passage}\n" + " ".join(WORDS[200:260])), (1006, None), (1007, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in [(r[0], r[1]) for r in rows] + extra], "doc_id long, text string, lang string, source string, n_chars long")
+    d = str(tmp_path / "sf")
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    kept, now = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = shared.written(stage(spark, now, d), name)
+        assert name == "best_fit_packing" or out.schema.names == docs.schema.names
+        kept[name] = {r["doc_id"]: r for r in out.collect()}
+        now = out
+    gone = {i for i, _, y in rows if y} - set(kept["toxicity"])
+    assert len(gone) >= 0.95 * sum(r[2] for r in rows) and len({r[0] for r in clean} - set(kept["toxicity"])) <= 0.01 * len(clean)
+    assert {r[0] for r in extra} <= set(kept["toxicity"])
+    near = set(kept["ngram_jaccard_join"])
+    assert 1000 in near and not {1001, 1002} & near and set(kept["toxicity"]) - near == {1001, 1002}
+    assert passage in kept["substring_dedup"][1004]["text"] and kept["substring_dedup"][1005]["text"] == " ".join(WORDS[200:260])
+    assert set(kept["substring_dedup"]) == near and near - set(kept["decontamination"]) == {1003}
+    assert set(kept["best_fit_packing"]) == set(kept["decontamination"])
+    assert corpus_pipeline.run(spark, d).count() == len(kept["best_fit_packing"])
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, d).count() == 0
