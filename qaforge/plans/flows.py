@@ -41,3 +41,10 @@ def enrich(files: DataFrame, config: EngineConfig = EngineConfig(), generator: G
     pairs = pairs_of(parts, generator, ["file_id", "dataset_id", "chunk"])
     kept = validate.required(pairs, "question", "answer", "context", strict=False)
     return dedup.build_rows(kept.withColumn("source_url", F.col("file_id")), clock if clock is not None else F.current_timestamp())
+
+
+def metrics(found: DataFrame, n_urls: int, seconds: float) -> DataFrame:
+    """One row about a run of generate: URLs, generated pairs (duplicates included), new and duplicate rows, URLs a second."""
+    return found.agg(F.count("*").alias("total_questions"), F.count_if(F.col("type") == "new").alias("stored"), F.count_if(F.col("type") != "new").alias("duplicates")).select(
+        F.lit(n_urls).alias("urls_processed"), "total_questions", "stored", "duplicates", F.lit(float(seconds)).alias("seconds"), F.lit(n_urls / seconds if seconds > 0 else 0.0).alias("urls_per_second")
+    )
