@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import pieces, words
 from .shared import doc_text, table, written
 
 
@@ -118,17 +118,15 @@ def document_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.of_worker(pieces.PieceEncoder, vocab_path)
         for batch in batches:
-            ids, done = batch.column("doc_id").to_pylist(), 0
-            for group in pieces.in_groups(batch.column("text").to_pylist()):
+            for at, part in words.groups(batch.column("text")):
                 rows = []
-                for doc_id, raw in zip(ids[done : done + len(group)], encoder.encode(group)):
+                for doc_id, raw in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), encoder.encode(part.to_pylist())):
                     body = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4").tobytes()
                     total, start, piece = len(body) // 4, 0, 0
                     while start < total:
                         n = (total - 1) % capacity + 1 if start == 0 else capacity
                         rows.append((doc_id, piece, start, n, zlib.crc32(body[4 * start : 4 * (start + n)])))
                         start, piece = start + n, piece + 1
-                done += len(group)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return doc_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

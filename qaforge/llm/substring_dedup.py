@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
 from .shared import table, written
 
 _SPACES = " \t\n\v\f\r"
@@ -30,7 +31,7 @@ def units(docs: DataFrame, min_words: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in batches:
+        for batch in (b.slice(at, len(part)) for b in batches for at, part in words.groups(b.column("text"))):
             rows = []
             for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
                 at = 0

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import pieces, words
 from .shared import table
 
 
@@ -27,7 +27,7 @@ def with_token_counts(df: DataFrame, model_path: str, text_col: str = "text", ou
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = pieces.of_worker(pieces.PieceCounter, model_path)
         for batch in batches:
-            yield pa.array([n for group in pieces.in_groups(batch.to_pylist()) for n in counter.count(group)], pa.int64())
+            yield pa.array([n for _, part in words.groups(batch) for n in counter.count(part.to_pylist())], pa.int64())
 
     return df.withColumn(out_col, count(F.coalesce(F.col(text_col), F.lit(""))))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import pieces, words
 from .shared import doc_text, new_path, table, written
 from .words import mix
 
@@ -111,21 +111,19 @@ def _shard_writer(uri: str, vocab_path: str, end_id: int):
         name, stream, offset, last, times = f"{uuid.uuid4().hex}.bin", None, 0, "no id yet", 0
         try:
             for batch in batches:
-                ids, texts, done = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), 0
-                if stream is None and ids:
+                if stream is None and len(batch):
                     filesystem, folder = _open(f"{uri}/ids")
                     filesystem.create_dir(folder, recursive=True)
                     stream = filesystem.open_output_stream(f"{folder}/{name}")
-                for group in pieces.in_groups(texts):
+                for first, part in words.groups(batch.column("text")):
                     rows = []
-                    for doc_id, raw in zip(ids[done : done + len(group)], encoder.encode(group)):
+                    for doc_id, raw in zip(batch.column("doc_id").slice(first, len(part)).to_pylist(), encoder.encode(part.to_pylist())):
                         times = times + 1 if doc_id == last else 0
                         last = doc_id
                         stream.write(raw + end)
                         n = len(raw) // encoder.dtype.itemsize + 1
                         rows.append((doc_id, times, name, offset, n))
                         offset += n
-                    done += len(group)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "occurrence", "file", "at", "n_tokens"])
         finally:
             if stream is not None:

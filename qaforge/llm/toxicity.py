@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces
+from . import words
 from .shared import crc_rest, doc_text, table
 from .words import mix
 
@@ -76,9 +76,10 @@ class Bag:
             of.append(word)
         of = np.concatenate(of)
         order = np.argsort(of, kind="stable")
-        self.bucket = (np.concatenate(grams)[order] & np.uint64(BUCKETS - 1)).astype(np.int64)
-        self.size = np.bincount(of, minlength=len(rep))  # n-grams of each form
-        self.begin = np.cumsum(self.size) - self.size
+        self.bucket = (np.concatenate(grams)[order] & np.uint64(BUCKETS - 1)).astype(np.int32)
+        self.size = np.bincount(of, minlength=len(rep)).astype(np.int32)  # n-grams of each form
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.form = self.form.astype(np.int32)
 
     def passages(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last word (excluded) of each passage, and its text."""
@@ -179,9 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     n, n_toxic = classes.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
     rank = F.xxhash64("doc_id", F.lit(17))
     sample = classes.where("toxic = 1").orderBy(rank, "doc_id").limit(per_class).unionByName(classes.where("toxic = 0").orderBy(rank, "doc_id").limit(per_class))
-    rows = doc_text(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text").toArrow()  # 2 * per_class ids at most
-    order = sorted(zip(rows.column("text").to_pylist(), rows.column("toxic").to_pylist()))  # the same model whatever the order of rows
-    model = train([t for t, _ in order], [int(y) for _, y in order])
+    rows = doc_text(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")  # 2 * per_class ids at most
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [r for batch in batches for r in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
+        got.sort()  # the same model whatever the order of rows
+        model = train([t for t, _ in got], [int(y) for _, y in got])
+        yield pa.RecordBatch.from_arrays([pa.array([model.s.astype("<f8").tobytes()]), pa.array([model.bias])], ["s", "bias"])
+
+    # The bounded sample is learnt in one task; the driver gets BUCKETS numbers.
+    found = rows.repartition(1).mapInArrow(learn, "s binary, bias double").first()
+    if not found:
+        return Model(np.zeros(BUCKETS), 0.0)
+    model = Model(np.frombuffer(found["s"], "<f8"), found["bias"])
     if 0 < n_toxic < n:
         model.bias += float(np.log(n_toxic / (n - n_toxic)))
     return model
@@ -200,7 +211,7 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, score_col
         s, bias = shared.value
         own = Model(s.astype(np.float64), bias)
         for batch in batches:
-            yield pa.array(np.concatenate([own.score(g) for g in pieces.in_groups(batch.to_pylist())] or [np.zeros(0)]), pa.float64())
+            yield pa.array(np.concatenate([own.score(part.to_pylist()) for _, part in words.groups(batch)] or [np.zeros(0)]), pa.float64())
 
     scored = docs.withColumn(score_col, score(F.coalesce(F.col("text"), F.lit(""))))
     return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))

@@ -70,6 +70,8 @@ class Words:
 
 def groups(texts: pa.Array, size: int = 1 << 20):
     """Slices of texts of about so many bytes (a longer text has one of its own), as (first row, slice)."""
+    if not len(texts):
+        return
     lengths = texts.cast(pa.large_binary())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64, len(texts) + 1, lengths.offset * 8)
     at = 0
