@@ -29,8 +29,8 @@ def page(qa: DataFrame, datasets: DataFrame, dataset_id: str, limit: int = 10, o
     limit, offset = checked_page(limit, offset)
     catalog.found(datasets, dataset_id)
     rows = qa.where(F.col("dataset_id") == dataset_id)
-    total = rows.agg(F.count("*").alias("total_count"))
-    return flat(rows.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit)).crossJoin(F.broadcast(total))  # one row
+    one_page = flat(rows.orderBy(F.col("created_at").desc(), "id").offset(offset).limit(limit))
+    return one_page.withColumn("total_count", F.lit(rows.count()).cast("long"))
 
 
 def detail(qa: DataFrame, datasets: DataFrame) -> DataFrame:
