@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import doc_text, release, table, written
+from .shared import bounded_batches, doc_text, release, table, written
 
 BOTH, INDEXED, LOOKED_UP = 0, 1, 2
 #: Rows up to which a side is broadcast; beyond it, Spark shuffles both.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text whose sets are held at once, a longer text by itself.
+GROUP = 1 << 17
 #: 64-bit words of a parity map.
 MAP_WORDS = 16
 _PRIMES = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0xA0761D6478BD642F], np.uint64)
@@ -190,7 +192,7 @@ def set_digests(docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in words.groups(batch.column("text")):
+            for at, part in words.groups(batch.column("text"), GROUP):
                 sets, first = shingle_sets(part, scheme.n)
                 d1, d2 = _digests(sets, first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.array(np.diff(first)), pa.array(d1), pa.array(d2), pa.ListArray.from_arrays(np.arange(0, len(part) * MAP_WORDS + 1, MAP_WORDS, dtype=np.int32), _parities(sets, first))], ["doc_id", "n_shingles", "d1", "d2", "map"])
@@ -208,7 +210,7 @@ def _entries(docs: DataFrame, scheme: Scheme) -> DataFrame:
         met: set[tuple[int, int]] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for at, part in words.groups(batch.column("text")):
+            for at, part in words.groups(batch.column("text"), GROUP):
                 sets, first = shingle_sets(part, scheme.n)
                 d1, d2 = (d.tolist() for d in _digests(sets, first))
                 keys, roles, owners, sizes = [], [], [], []
@@ -290,7 +292,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in words.groups(batch.column("text")):
+            for at, part in words.groups(batch.column("text"), GROUP):
                 sets, first = shingle_sets(part, scheme.n)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(part)), pa.LargeListArray.from_arrays(first, sets.view(np.int64)).cast(pa.list_(pa.int64()))], ["node", "shingles"])
 
@@ -312,6 +314,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme | None = None) -> DataFrame:
     null component. An empty table gives no rows; other columns are not looked at.
     """
     scheme = scheme or Scheme()
+    bounded_batches(docs.sparkSession)
     infos = written(set_digests(docs, scheme), "sets-digested")
     classes = infos.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     placed = written(infos.where("n_shingles > 0 AND doc_id IS NOT NULL").join(classes, ["d1", "d2"]).select("doc_id", F.col("n_shingles").cast("int").alias("n_shingles"), "node", "map"), "placed")

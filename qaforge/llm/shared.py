@@ -30,6 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/qaforge-{spark.sparkContext.applicationId}"
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Bound the bytes of one Arrow batch, unless the session has a bound of its own.
+
+    By rows alone (10000 by default), a batch of long texts takes tens of MB several times over in the JVM and in Python.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import crc_rest, doc_text, table
+from .shared import bounded_batches, crc_rest, doc_text, table
 from .words import mix
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 PASSAGE = 48  # words; passages of a text overlap by half
+GROUP = 1 << 17  # bytes of text scored at once, a longer text by itself
 LEAST = 24  # a shorter passage's mean is taken as if words of no weight filled it up
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -176,6 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     with their whole texts. A document labelled more than once counts as toxic if one label says so; null labels and
     labels without a document are left out.
     """
+    bounded_batches(docs.sparkSession)
     classes = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     n, n_toxic = classes.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
     rank = F.xxhash64("doc_id", F.lit(17))
@@ -211,7 +213,7 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, score_col
         s, bias = shared.value
         own = Model(s.astype(np.float64), bias)
         for batch in batches:
-            yield pa.array(np.concatenate([own.score(part.to_pylist()) for _, part in words.groups(batch)] or [np.zeros(0)]), pa.float64())
+            yield pa.array(np.concatenate([own.score(part.to_pylist()) for _, part in words.groups(batch, GROUP)] or [np.zeros(0)]), pa.float64())
 
     scored = docs.withColumn(score_col, score(F.coalesce(F.col("text"), F.lit(""))))
     return scored.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
