@@ -216,6 +216,25 @@ def test_language_model(spark, monkeypatch):
     assert language_model.scores(df.limit(0), model).count() == 0
 
 
+def test_language_model_learns_every_pair(spark, monkeypatch):
+    # Each word has one word after it; all these words are of a kind, so classes cannot tell which.
+    docs = [(i, f"u{i % 300} v{i % 300}") for i in range(3000)]
+    train = spark.createDataFrame(docs, DOCS)
+    asked = spark.createDataFrame([(i, f"u{i} v{j}") for i in range(0, 300, 7) for j in (i, (i + 1) % 300)] + [(-1, "u1 unseen v1"), (-2, "u1 v1 " * 50)], DOCS)
+    want = None
+    for k in ("VOCABULARY", "ANCHORS"):
+        monkeypatch.setattr(language_model, k, 1)  # the same classes whatever HEAD is
+    for head, pairs, slices in ((1 << 20, 1 << 20, 8), (1 << 20, 40, 3), (20, 1, 2)):
+        for k, x in (("HEAD", head), ("PAIRS", pairs), ("SLICES", slices)):
+            monkeypatch.setattr(language_model, k, x)
+        model = language_model.fit(train.select("text").coalesce(1))
+        got = {(r["doc_id"], r["text_is"]): r["score"] for r in language_model.scores(asked.withColumn("text_is", F.col("text")), model).collect()}
+        assert model.pairs.count() == 300 * 3 and model.pairs.agg(F.sum("c")).first()[0] == 9000
+        assert all(got[i, f"u{i} v{i}"] > got[i, f"u{i} v{(i + 1) % 300}"] + 0.5 for i in range(0, 300, 7))
+        want = want or got
+        assert all(got[k] == pytest.approx(want[k], rel=1e-5) for k in want)
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b")], DOCS)
     model = language_model.fit(df.limit(0).select("text"))
