@@ -36,16 +36,14 @@ def max_score(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarray,
         # What a posting of a term can add to the term's least: wide terms come first.
         order = np.argsort(least - most, kind="stable")
         rest = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])  # bound on all terms from a place on
-        me = int(np.searchsorted(ids, own))
-        me = me if me < n and ids[me] == own else -1
-        wanted = min(k, n - (me >= 0))
+        me = slice(int(np.searchsorted(ids, own)), int(np.searchsorted(ids, own, "right")))
+        wanted = min(k, n - (me.stop - me.start))
         if wanted <= 0:
             continue
         # The threshold begins with the exact scores of rows that look best after the widest terms.
         at = min(_STEP, n_terms)
         partial = query[order[:at]] @ postings[order[:at]]
-        if me >= 0:
-            partial[me] = np.iinfo(np.int64).min // 2
+        partial[me] = np.iinfo(np.int64).min // 2
         seed = np.argpartition(-partial, wanted - 1)[:wanted]
         threshold = int((query @ postings[:, seed]).min())
         # A row with the least of all essential terms cannot reach the threshold by the non-essential ones.
@@ -105,7 +103,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Both sides are (vec_id, q) as of `quantised`. Vectors of different lengths meet as if the shorter one went on with
     zeros. Ties go to the smaller vec_id; fewer than k rows are all returned. A repeated vec_id takes part once for each
-    row. Empty tables give no rows.
+    row, and queries of one id share one list, in which a row stands once for each of them. Empty tables give no rows.
 
     Every block of queries meets every shard: a stated set of queries against all rows. What moves is a shard for each
     block of queries, and k rows for each query and shard come back.
