@@ -174,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     """A model of docs (doc_id, text) and labels (doc_id, toxic).
 
     The bias follows the share of toxic texts among all labels. The rest is learnt from a bounded sample: of each class the per_class labelled documents of the smallest hashes of their ids,
-    with their whole texts. A document labelled more than once counts as toxic if one label says so; null labels and
+    with their whole texts. Of rows that repeat an id, the text of the smallest hash stands for it, so the sample is of
+    2 * per_class texts at most; its bytes are bounded by that many times the longest text. A document labelled more than once counts as toxic if one label says so; null labels and
     labels without a document are left out.
     """
     bounded_batches(docs.sparkSession)
@@ -182,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     n, n_toxic = classes.agg(F.count("*"), F.count(F.when(F.col("toxic") == 1, 1))).first()
     rank = F.xxhash64("doc_id", F.lit(17))
     sample = classes.where("toxic = 1").orderBy(rank, "doc_id").limit(per_class).unionByName(classes.where("toxic = 0").orderBy(rank, "doc_id").limit(per_class))
-    rows = doc_text(docs).join(F.broadcast(sample), "doc_id").select("toxic", "text")  # 2 * per_class ids at most
+    rows = doc_text(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("toxic", "text")  # 2 * per_class rows at most
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [r for batch in batches for r in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]

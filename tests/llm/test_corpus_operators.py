@@ -285,6 +285,15 @@ def test_toxicity(spark):
     assert toxicity.fit(docs.drop("toxic"), labels.limit(0)).score(["moron"])[0] == 0.5
 
 
+def test_a_repeated_id_is_learnt_once(spark):
+    rows = toxic_corpus(200)
+    docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    many = docs.unionByName(spark.range(150).crossJoin(docs.where("doc_id in (0, 2)")).select(*docs.columns))
+    a, b = (toxicity.fit(x, labels) for x in (docs, many))
+    assert np.array_equal(a.s, b.s) and a.bias == b.bias
+
+
 def test_only_the_text_counts(spark):
     rows = toxic_corpus(200)
     docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
