@@ -1,7 +1,10 @@
-"""Substring de-duplication by lines.
+"""Substring de-duplication by lines, and by passages of short lines.
 
 Units are lines. Each is normalised and digested; digests are grouped over the whole corpus, the occurrence of the
 earliest rank stays, and every other is removed, with its place in the original text kept.
+
+Lines too short for that can be taken by characters, and by passages: from each line on, the least run of lines of a given
+size. A passage goes line by line, so each line that goes stands at an earlier place too.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from . import words
 from .shared import table, written
 
 _SPACES = " \t\n\v\f\r"
+_WORD = 6  # characters that count as a word where passages are measured, for scripts without spaces
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TO_SPACE = str.maketrans(dict.fromkeys("\t\v\f\r", " "))
 
@@ -26,23 +30,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, text_hash, line, start, end (code points) and digest of each line of at least min_words words."""
+def units(docs: DataFrame, min_words: int, min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
+    """doc_id, text_hash, line, last, start, end (code points) and digest of each line of at least min_words words.
+
+    With min_chars, lines of at least so many normalised characters are units as well. With passage_words, so is the least
+    run of lines (line to last) from each line on that has so many words, if a line in it is no unit by itself.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in (b.slice(at, len(part)) for b in batches for at, part in words.groups(b.column("text"))):
             rows = []
             for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
-                at = 0
+                at, lines = 0, []
                 for k, line in enumerate(text.split("\n")):
                     norm = [w for w in line.translate(_TO_SPACE).split(" ") if w]
-                    if len(norm) >= min_words:
-                        rows.append((doc_id, text_hash, k, at, at + len(line), hashlib.blake2b(" ".join(norm).translate(_LOWER).encode(), digest_size=16).digest()))
+                    joined = " ".join(norm)
+                    alone = len(norm) >= min_words or min_chars is not None and len(joined) >= min_chars
+                    digest = hashlib.blake2b(joined.translate(_LOWER).encode(), digest_size=16).digest() if alone or passage_words and norm else b""
+                    if alone:
+                        rows.append((doc_id, text_hash, k, k, at, at + len(line), digest))
+                    if norm:
+                        lines.append((k, at, at + len(line), max(len(norm), len(joined) // _WORD), alone, digest))
                     at += len(line) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], ["doc_id", "text_hash", "line", "start", "end", "digest"])
+                if passage_words:
+                    rows += [(doc_id, text_hash, *p) for p in _passages(lines, passage_words)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, kinds)], ["doc_id", "text_hash", "line", "last", "start", "end", "digest"])
+
+    return _keyed(docs).mapInArrow(cut, "doc_id long, text_hash long, line int, last int, start long, end long, digest binary")
+
+
+def _passages(lines: list[tuple], least: int) -> Iterator[tuple]:
+    """line, last, start, end and digest of the least run of `least` words from each line on that holds a line that is no unit.
 
-    return _keyed(docs).mapInArrow(cut, "doc_id long, text_hash long, line int, start long, end long, digest binary")
+    A run of one line is a unit itself if it is long enough for one, so it may well be a passage too.
+    """
+    size = short = to = 0
+    for i, (k, start, _, words_here, alone, _) in enumerate(lines):
+        while to < len(lines) and size < least:
+            size, short, to = size + lines[to][3], short + (not lines[to][4]), to + 1
+        if size < least:
+            return
+        if short:
+            digest = hashlib.blake2b(b"".join(x[5] for x in lines[i:to]), digest_size=16, person=b"passage").digest()
+            yield k, lines[to - 1][0], start, lines[to - 1][2], digest
+        size, short = size - words_here, short - (not alone)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -53,29 +85,39 @@ def repeated_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
     repeated inside one document is removed there too. Null and empty texts have no lines. Rows that repeat id and text
     are one document: all of them lose the same lines. An empty table gives no rows.
     """
-    found = written(units(docs, min_words).dropDuplicates(["doc_id", "text_hash", "line"]), "units")
+    return _repeated(docs, min_words).select("doc_id", "text_hash", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+
+
+def _repeated(docs: DataFrame, min_words: int, min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
+    """Each unit that is not its earliest, with keep: doc_id, text_hash, start and end of the earliest.
+
+    A passage that overlaps the earliest one in its own document stays, as its lines are not those of an earlier place.
+    """
+    found = written(units(docs, min_words, min_chars, passage_words).dropDuplicates(["doc_id", "text_hash", "line", "digest"]), "units")
     # The groups of frequent lines are reduced on the map side; a join then marks the occurrences, and Spark splits it if skewed.
-    rank = F.struct("doc_id", "text_hash", "start")
-    groups = found.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(groups, "digest").where(~rank.eqNullSafe(F.col("keep")))
-    return later.select("doc_id", "text_hash", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+    groups = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same_document = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("keep.doc_id", "keep.text_hash"))
+    return found.join(groups, "digest").where(~(same_document & (F.col("start") < F.col("keep.end"))))
 
 
-def without_repeats(docs: DataFrame, min_words: int = 10, removed_col: str = "removed") -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = 10, removed_col: str = "removed", min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
     """docs without the lines of repeated_spans (and their line breaks), with removed_col: line, start and end of each.
 
+    With min_chars and passage_words, also without repeated lines of so many characters and repeated runs of lines of so
+    many words (see `units`); removed_col has each run whole, and runs may overlap.
+
     All rows and all other columns stay; a column of that name is replaced. A document of which nothing is left has an empty
     text; a null text stays null. `n_chars`, where there is one, follows the text.
     """
-    spans = repeated_spans(docs, min_words)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("line", "start", "end"))).alias("_removed"))
+    spans = _repeated(docs, min_words, min_chars, passage_words)
+    per_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("line", "last", "start", "end"))).alias("_removed"))
 
     @F.arrow_udf("string")
     def rest(texts: pa.Array, removed: pa.Array) -> pa.Array:
         out = []
         for text, lines in zip(texts.to_pylist(), removed.to_pylist()):
             if lines:
-                gone = {x["line"] for x in lines}
+                gone = {k for x in lines for k in range(x["line"], x["last"] + 1)}
                 text = "\n".join([line for k, line in enumerate(text.split("\n")) if k not in gone])
             out.append(text)
         return pa.array(out, pa.string())

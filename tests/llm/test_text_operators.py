@@ -207,3 +207,23 @@ def test_repeated_lines_against_brute_force(spark, least):
             at += len(line) + 1
     got = [(r["doc_id"], r["start"], r["keep_doc_id"], r["keep_start"]) for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_repeated_passages_of_short_lines(spark):
+    verse = "\n".join(f"verse {i} of the song" for i in range(12))  # 60 words, five a line
+    script = "\u6c34" * 70  # one word to the eye of white space
+    rows = [
+        (1, f"own start\n{verse}\nown end"),
+        (2, f"other start\nmore\n{verse.upper()}\nother end"),
+        (3, "\n".join(f"verse {i} of the song" for i in range(8))),  # too short a run
+        (4, "\n".join(["la la"] * 100)),
+        (5, f"x\n{script}"),
+        (6, f"y\n{script}"),
+        (6, f"y\n{script}"),
+        (7, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(df, min_chars=40, passage_words=50).collect()), key=repr)
+    want = [rows[0], (2, "other start\nmore\nother end"), rows[2], (4, "\n".join(["la la"] * 25)), rows[4], (6, "y"), (6, "y"), rows[7]]
+    assert got == sorted(want, key=repr)
+    assert substring_dedup.repeated_spans(df).count() == 0  # by words alone
