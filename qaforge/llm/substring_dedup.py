@@ -1,147 +1,212 @@
-"""Substring de-duplication by lines, and by passages of short lines.
+"""Substring de-duplication by units: lines, and passages that begin and end anywhere.
 
-Units are lines. Each is normalised and digested; digests are grouped over the whole corpus, the occurrence of the
-earliest rank stays, and every other is removed, with its place in the original text kept.
+Units are whole lines and, for passages inside lines or across them, every run of `window` words that begins at an anchor.
+Anchors follow from the words alone (about every other word is one), so two copies of a passage have the same units in it.
+Units are normalised and digested, digests are grouped over the whole corpus, the occurrence of the earliest rank stays, and
+the words of every other are removed, with their places in the original text kept.
 
-Lines too short for that can be taken by characters, and by passages: from each line on, the least run of lines of a given
-size. A passage goes line by line, so each line that goes stands at an earlier place too.
+Units are told apart by 64-bit digests: two given ones collide with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import table, written
-
-_SPACES = " \t\n\v\f\r"
-_WORD = 6  # characters that count as a word where passages are measured, for scripts without spaces
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TO_SPACE = str.maketrans(dict.fromkeys("\t\v\f\r", " "))
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-
-
-def units(docs: DataFrame, min_words: int, min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
-    """doc_id, text_hash, line, last, start, end (code points) and digest of each line of at least min_words words.
-
-    With min_chars, lines of at least so many normalised characters are units as well. With passage_words, so is the least
-    run of lines (line to last) from each line on that has so many words, if a line in it is no unit by itself.
+from .shared import release, table, written
+from .words import mix
+
+WINDOW = 16  # words of a passage's unit; a shared passage of this size may be found, one of 50 words nearly always is
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_BASE = np.uint64(0xD1342543DE82EF95)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_LINE, _PASSAGE = np.uint64(0x632BE59BD9B4E019), np.uint64(0x9FB21C651E98DF25)
+
+
+def _doc_key() -> Column:
+    """doc_id as a long, the least one for null: the first part of a document's rank."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _starts(before: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])) if len(before) else np.zeros(0, np.int64)
+
+
+def _units(part: pa.Array, min_words: int, min_chars: int, window: int) -> tuple[np.ndarray, ...]:
+    """Text, first word, number of words and digest of each unit of some texts, and whether it repeats one that ends before it
+    in its text."""
+    w = words.Words(part, words.SPACED)
+    n = len(w)
+    text = np.repeat(np.arange(len(part)), np.diff(w.first))
+    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _BASE)]), dtype=np.uint64)
+    inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _INVERSE)]), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * power[:n], dtype=np.uint64)])
+    chars = np.concatenate([[0], np.cumsum((w.bytes & 0xC0) != 0x80)])
+    # Lines: words of one text with as many line breaks before them.
+    breaks = np.concatenate([[0], np.cumsum(w.bytes == 10)])[w.starts]
+    a = _starts(text * (len(w.bytes) + 1) + breaks)
+    b = np.append(a[1:], n) if len(a) else a
+    letters = np.concatenate([[0], np.cumsum(chars[w.ends] - chars[w.starts])])
+    long_enough = (b - a >= min_words) | (letters[b] - letters[a] + b - a - 1 >= min_chars)
+    a, b = a[long_enough], b[long_enough]
+    # Passages: `window` words from each word on whose kind is that of the next word.
+    kind = (w.ends - w.starts + w.bytes[w.starts] + w.bytes[w.ends - 1]) & 1
+    c = np.flatnonzero(kind[:-1] == kind[1:]) if window else np.zeros(0, np.int64)
+    c = c[c + window <= w.first[text[c] + 1]]
+    first, last = np.concatenate([a, c]), np.concatenate([b, c + window])
+    digest = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+    digest = mix(digest ^ np.where(np.arange(len(first)) < len(a), _LINE, _PASSAGE))
+    # The first unit of a digest in its own text; `unique` gives the earliest of equal ones, as each kind is in order.
+    _, earliest, same = np.unique(digest + mix(text[first].astype(np.uint64)), return_index=True, return_inverse=True)
+    again = first >= last[earliest[same]] if len(first) else np.zeros(0, bool)
+    return text[first], first - w.first[text[first]], last - first, digest, again
+
+
+def units(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW) -> DataFrame:
+    """The units of docs (doc_id, text): doc, text_hash, digest, place and again.
+
+    Units are the lines of at least min_words words or min_chars normalised characters, and the runs of `window` words of
+    one text that begin at a word whose kind (the parity of its bytes and of the first and the last of them) is that of the
+    next word; a window of 0 leaves these out. place: the first word's number times 2**32, plus the number of words. again:
+    whether the unit repeats one of its own text that ends before it. doc: doc_id, the least long for null.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        for batch in (b.slice(at, len(part)) for b in batches for at, part in words.groups(b.column("text"))):
-            rows = []
-            for doc_id, text_hash, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text"))):
-                at, lines = 0, []
-                for k, line in enumerate(text.split("\n")):
-                    norm = [w for w in line.translate(_TO_SPACE).split(" ") if w]
-                    joined = " ".join(norm)
-                    alone = len(norm) >= min_words or min_chars is not None and len(joined) >= min_chars
-                    digest = hashlib.blake2b(joined.translate(_LOWER).encode(), digest_size=16).digest() if alone or passage_words and norm else b""
-                    if alone:
-                        rows.append((doc_id, text_hash, k, k, at, at + len(line), digest))
-                    if norm:
-                        lines.append((k, at, at + len(line), max(len(norm), len(joined) // _WORD), alone, digest))
-                    at += len(line) + 1
-                if passage_words:
-                    rows += [(doc_id, text_hash, *p) for p in _passages(lines, passage_words)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 7, kinds)], ["doc_id", "text_hash", "line", "last", "start", "end", "digest"])
-
-    return _keyed(docs).mapInArrow(cut, "doc_id long, text_hash long, line int, last int, start long, end long, digest binary")
-
-
-def _passages(lines: list[tuple], least: int) -> Iterator[tuple]:
-    """line, last, start, end and digest of the least run of `least` words from each line on that holds a line that is no unit.
-
-    A run of one line is a unit itself if it is long enough for one, so it may well be a passage too.
-    """
-    size = short = to = 0
-    for i, (k, start, _, words_here, alone, _) in enumerate(lines):
-        while to < len(lines) and size < least:
-            size, short, to = size + lines[to][3], short + (not lines[to][4]), to + 1
-        if size < least:
-            return
-        if short:
-            digest = hashlib.blake2b(b"".join(x[5] for x in lines[i:to]), digest_size=16, person=b"passage").digest()
-            yield k, lines[to - 1][0], start, lines[to - 1][2], digest
-        size, short = size - words_here, short - (not alone)
-
-
-def repeated_spans(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """Each occurrence of a line that is not its earliest: doc_id, text_hash, line, start, end, keep_doc_id, keep_start.
-
-    Lines are equal when they are so after lower-casing A-Z and putting one space for each run of white space; lines of
-    fewer than min_words words are left alone. Rank is (doc_id, text_hash, start), a null doc_id first. A line that is
-    repeated inside one document is removed there too. Null and empty texts have no lines. Rows that repeat id and text
-    are one document: all of them lose the same lines. An empty table gives no rows.
-    """
-    return _repeated(docs, min_words).select("doc_id", "text_hash", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
-
-
-def _repeated(docs: DataFrame, min_words: int, min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
-    """Each unit that is not its earliest, with keep: doc_id, text_hash, start and end of the earliest.
+        for batch in batches:
+            for at, part in words.groups(batch.column("text")):
+                text, first, size, digest, again = _units(part, min_words, min_chars, window)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").slice(at, len(part)).take(pa.array(text)), batch.column("text_hash").slice(at, len(part)).take(pa.array(text)), pa.array(digest.view(np.int64)), pa.array(first * (1 << 32) + size), pa.array(again)],
+                    ["doc", "text_hash", "digest", "place", "again"],
+                )
 
-    A passage that overlaps the earliest one in its own document stays, as its lines are not those of an earlier place.
-    """
-    found = written(units(docs, min_words, min_chars, passage_words).dropDuplicates(["doc_id", "text_hash", "line", "digest"]), "units")
-    # The groups of frequent lines are reduced on the map side; a join then marks the occurrences, and Spark splits it if skewed.
-    groups = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    same_document = F.struct("doc_id", "text_hash").eqNullSafe(F.struct("keep.doc_id", "keep.text_hash"))
-    return found.join(groups, "digest").where(~(same_document & (F.col("start") < F.col("keep.end"))))
+    keyed = docs.select(_doc_key().alias("doc"), _text_hash().alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return keyed.mapInArrow(cut, "doc long, text_hash long, digest long, place long, again boolean")
 
 
-def without_repeats(docs: DataFrame, min_words: int = 10, removed_col: str = "removed", min_chars: int | None = None, passage_words: int | None = None) -> DataFrame:
-    """docs without the lines of repeated_spans (and their line breaks), with removed_col: line, start and end of each.
+def repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW) -> DataFrame:
+    """doc, text_hash and place of each unit (see `units`) that is not the earliest of its digest.
 
-    With min_chars and passage_words, also without repeated lines of so many characters and repeated runs of lines of so
-    many words (see `units`); removed_col has each run whole, and runs may overlap.
+    Rank is (doc_id, text_hash, place), a null doc_id first. A unit that overlaps the earliest one in its own text stays.
+    Rows that repeat id and text are one document. Null and empty texts have no units; an empty table gives no rows.
+    """
+    # Units are cut twice instead of written: cheap in CPU, and a corpus has more of them than it has text.
+    found = units(docs, min_words, min_chars, window)
+    # Frequent digests are reduced on the map side. Only digests that occur again go on, and Spark splits a skewed join.
+    groups = written(found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-digests")
+    release(docs.sparkSession)
+    again = written(found.join(groups, "digest"), "repeated-units")
+    release(docs.sparkSession)
+    # Different texts under the id of the first occurrence: the least hash stays.
+    earliest = again.where("doc = first_doc")
+    ties = earliest.groupBy("digest").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).where("least < most")
+    later = earliest.join(ties, "digest").where("text_hash > least AND NOT again")
+    return again.where("doc > first_doc OR again").unionByName(later.select(*again.columns)).select("doc", "text_hash", "place")
+
+
+def removed_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
+    """Start and end (code points) of what goes from a text with the words at these places.
+
+    A word takes the white space after it along. A run of words that begins inside a line and ends with a line leaves the
+    line break.
+    """
+    at = [m.span() for m in _WORD.finditer(text)]
+    out, end = [], -1
+    runs: list[list[int]] = []
+    for place in sorted(places):
+        first, last = place >> 32, (place >> 32) + (place & 0xFFFFFFFF)
+        if first <= end:
+            end = runs[-1][1] = max(end, last)
+        else:
+            runs.append([first, last])
+            end = last
+    for first, last in runs:
+        begins = first == 0 or "\n" in text[at[first - 1][1] : at[first][0]]
+        to = at[last][0] if last < len(at) else len(text)
+        if not begins and "\n" in text[at[last - 1][1] : to]:
+            to = at[last - 1][1]
+        out.append((at[first][0], to))
+    return out
+
+
+def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW, removed_col: str = "removed") -> DataFrame:
+    """docs without the units of `repeats`, with removed_col: start and end (code points of the original text) of each part
+    that went, in order.
 
     All rows and all other columns stay; a column of that name is replaced. A document of which nothing is left has an empty
-    text; a null text stays null. `n_chars`, where there is one, follows the text.
+    text; a null text stays null. removed_col is an empty list where nothing went. `n_chars`, where there is one, follows
+    the text. An empty table gives an empty one.
     """
-    spans = _repeated(docs, min_words, min_chars, passage_words)
-    per_doc = spans.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.sort_array(F.collect_list(F.struct("line", "last", "start", "end"))).alias("_removed"))
-
-    @F.arrow_udf("string")
-    def rest(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        out = []
-        for text, lines in zip(texts.to_pylist(), removed.to_pylist()):
-            if lines:
-                gone = {k for x in lines for k in range(x["line"], x["last"] + 1)}
-                text = "\n".join([line for k, line in enumerate(text.split("\n")) if k not in gone])
-            out.append(text)
-        return pa.array(out, pa.string())
-
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    out = docs.drop(removed_col).join(per_doc, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_hash")), "left").drop("_doc", "_hash")
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(rest("text", "_removed"))).withColumnRenamed("_removed", removed_col)
+    spans = repeats(docs, min_words, min_chars, window)
+    # A set, as rows that repeat id and text have the same places; it is bounded by the text itself.
+    per_doc = spans.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("place").alias("_places"))
+
+    @F.arrow_udf("struct<text:string,removed:array<struct<start:long,end:long>>>")
+    def rest(texts: pa.Array, places: pa.Array) -> pa.Array:
+        kept, gone = [], []
+        for text, own in zip(texts.to_pylist(), places.to_pylist()):
+            found = removed_spans(text, own) if own else []
+            cuts = [0, *(x for span in found for x in span), None]
+            kept.append("".join([text[a:b] for a, b in zip(cuts[::2], cuts[1::2])]) if found else text)
+            gone.append([{"start": a, "end": b} for a, b in found])
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, kind)], ["text", "removed"])
+
+    kept = docs.drop(removed_col)
+    out = kept.join(per_doc, (_doc_key() == F.col("_doc")) & (_text_hash() == F.col("_hash")), "left").drop("_doc", "_hash")
+    none = F.struct(F.col("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
+    out = out.withColumn("_rest", F.when(F.col("_places").isNull(), none).otherwise(rest("text", "_places")))
+    out = out.withColumns({"text": F.col("_rest.text"), removed_col: F.col("_rest.removed")}).drop("_rest", "_places")
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents")).drop("text_hash", "line")
+    """One row for each document: doc_id, its text without repeats, and what went as `start-end` of the original text."""
+    out = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
+    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array_join(spans, " ").alias("removed"))
 
 
 ORACLE = r"""
-WITH l AS (
-  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i + 1] AS line, string_split(coalesce(text, ''), chr(10)) AS ls
-  FROM documents, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS r(i)
-), u AS (
-  SELECT doc_id, CAST(i + coalesce(list_sum(list_transform(ls[1 : i], lambda x: length(x))), 0) AS BIGINT) AS start, length(line) AS n,
-    trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS norm FROM l
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*')) AS lead,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS tokens FROM documents
+), w AS (
+  SELECT doc_id, i - 1 AS i, tokens[i] AS token, lead, regexp_extract(tokens[i], '^[^\x20\x09-\x0D]+') AS word
+  FROM t, unnest(range(1, len(tokens) + 1)) AS r(i)
+), p AS (
+  SELECT doc_id, i, length(word) AS n, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word, strpos(token, chr(10)) > 0 AS ends,
+    lead + coalesce(sum(length(token)) OVER b, 0) AS start, lead + sum(length(token)) OVER c AS next,
+    coalesce(sum(CASE WHEN strpos(token, chr(10)) > 0 THEN 1 ELSE 0 END) OVER b, 0) AS line
+  FROM w WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY doc_id ORDER BY i)
+), k AS (
+  SELECT *, (octet_length(encode(word)) + CAST('0x' || hex(encode(word))[1:2] AS INT) + CAST('0x' || hex(encode(word))[-2:] AS INT)) % 2 AS kind FROM p
+), d AS (SELECT doc_id, list(word ORDER BY i) AS words, list(kind ORDER BY i) AS kinds FROM k GROUP BY doc_id), u AS (
+  SELECT doc_id, min(i) AS first, count(*) AS size, 'line ' || string_agg(word, ' ' ORDER BY i) AS body FROM p GROUP BY doc_id, line
+    HAVING count(*) >= 10 OR sum(length(word)) + count(*) - 1 >= 40
+  UNION ALL SELECT doc_id, i, 16, array_to_string(words[i + 1 : i + 16], ' ') FROM d, unnest(range(0, len(words) - 15)) AS r(i) WHERE kinds[i + 1] = kinds[i + 2]
+), f AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first_doc, first_value(first + size) OVER (PARTITION BY body, doc_id ORDER BY first) AS first_end FROM u
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(first, first + size)) AS i FROM f WHERE doc_id > first_doc OR first >= first_end
 ), r AS (
-  SELECT doc_id, start, start + n AS "end", first_value(doc_id) OVER w AS keep_doc_id, first_value(start) OVER w AS keep_start
-  FROM u WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 9 WINDOW w AS (PARTITION BY norm ORDER BY doc_id, start)
+  SELECT p.*, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, i = 0 OR line <> lag_line AS begins
+  FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS lag_line FROM p) p SEMI JOIN g USING (doc_id, i)
+), s AS (
+  SELECT doc_id, min(start) AS a, CASE WHEN arg_max(ends, i) AND NOT arg_min(begins, i) THEN arg_max(start + n, i) ELSE max(next) END AS b FROM r GROUP BY doc_id, run
+), c AS (
+  SELECT doc_id, string_agg(CAST(a AS BIGINT) || '-' || CAST(b AS BIGINT), ' ' ORDER BY a) AS removed, string_agg(substr(text, CAST(a0 AS BIGINT) + 1, CAST(a - a0 AS BIGINT)), '' ORDER BY a) AS head, max(b) AS b
+  FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a0 FROM s) JOIN t USING (doc_id) GROUP BY doc_id
 )
-SELECT doc_id, start, "end", keep_doc_id, keep_start FROM r WHERE doc_id <> keep_doc_id OR start <> keep_start
+SELECT doc_id, CASE WHEN removed IS NULL THEN text ELSE head || substr(text, CAST(b AS BIGINT) + 1) END AS text, coalesce(removed, '') AS removed FROM t LEFT JOIN c USING (doc_id)
 """

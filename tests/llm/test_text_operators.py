@@ -1,6 +1,7 @@
-"""Tokenizer operators, chat formatting and line de-duplication against brute force, with odd rows."""
+"""Tokenizer operators, chat formatting and substring de-duplication against brute force, with odd rows."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -175,55 +176,102 @@ def test_repeated_lines(spark):
         (7, LONG, 1),
         (8, None, 1),
         (6, "", 1),
+        (2, " \n\t", 1),
         (None, f"x\n{LONG}", 1),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed int").withColumn("n_chars", F.length("text").cast("long"))
-    spans = sorted((r["doc_id"], r["start"], r["end"], r["keep_doc_id"], r["keep_start"]) for r in substring_dedup.repeated_spans(df).collect())
-    n = len(LONG)
-    assert spans == [(1, 11, 11 + n + 4, None, 2), (5, 0, n, None, 2), (5, n + 22, 2 * n + 22, None, 2), (7, 0, n, None, 2), (9, 2, 2 + n, None, 2)]
     out = substring_dedup.without_repeats(df)
-    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out.collect()), key=repr)
-    want = [(5, "unlike anything else"), (1, "short line\nshort line"), (9, "a"), (9, "a"), (7, ""), (8, None), (6, ""), (None, f"x\n{LONG}")]
-    assert got == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=repr)
-    for r in out.where("doc_id = 5").collect():
-        assert [rows[0][1][s["start"] : s["end"]] for s in r["removed"]] == [LONG, LONG.upper()]
-    assert substring_dedup.repeated_spans(df.limit(0)).count() == 0 and substring_dedup.without_repeats(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("least", [1, 3])
-def test_repeated_lines_against_brute_force(spark, least):
-    rng = random.Random(least)
-    docs = [(i, "\n".join(rng.choice(["a b c", "A  b c", "d e", "f", "", " g h i j"]) for _ in range(rng.randint(0, 6)))) for i in range(30)]
-    seen, want = {}, []
-    for i, t in docs:
-        at = 0
-        for line in t.split("\n"):
-            key = " ".join(line.lower().split())
-            if key and len(key.split()) >= least:
-                if key in seen:
-                    want.append((i, at, *seen[key]))
-                else:
-                    seen[key] = (i, at)
-            at += len(line) + 1
-    got = [(r["doc_id"], r["start"], r["keep_doc_id"], r["keep_start"]) for r in substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), least).collect()]
-    assert sorted(got) == sorted(want)
-
-
-def test_repeated_passages_of_short_lines(spark):
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"], [(s["start"], s["end"]) for s in r["removed"]]) for r in out.collect()), key=repr)
+    n = len(LONG)
+    want = [(5, "unlike anything else\n", [(0, n + 1), (n + 22, 2 * n + 22)]), (1, "short line\n  short line", [(13, 13 + n + 3)]), (9, "a\n", [(2, n + 2)]), (9, "a\n", [(2, n + 2)]), (7, "", [(0, n)]), (8, None, []), (6, "", []), (2, " \n\t", []), (None, f"x\n{LONG}", [])]
+    assert got == sorted(((i, t, None if t is None else len(t), s) for i, t, s in want), key=repr)
+    assert substring_dedup.repeats(df.limit(0)).count() == 0 and substring_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def brute_force_rest(docs, least, chars, window):
+    """Cleaned texts of docs (in order of rank, no id twice) by sets of word tuples."""
+    low = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    kind = lambda w: (len(w.encode()) + w.encode()[0] + w.encode()[-1]) % 2
+    first, out = {}, {}
+    for i, text in docs:
+        at = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", text)]
+        w = [low(text[a:b]) for a, b in at]
+        line = [text[:a].count("\n") for a, _ in at]
+        found = []
+        for k in sorted(set(line)):
+            own = [p for p, x in enumerate(line) if x == k]
+            if len(own) >= least or len(" ".join(w[p] for p in own)) >= chars:
+                found.append(("line", own[0], own[-1] + 1))
+        if window:
+            found += [("passage", p, p + window) for p in range(len(w) - window + 1) if kind(w[p]) == kind(w[p + 1])]
+        gone = [False] * len(w)
+        for what, a, b in found:
+            doc, end = first.setdefault((what, tuple(w[a:b])), (i, b))
+            if doc != i or a >= end:
+                gone[a:b] = [True] * (b - a)
+        kept, p = text[: at[0][0]] if at else text, 0
+        while p < len(w):
+            q = p
+            while q < len(w) and gone[q] == gone[p]:
+                q += 1
+            stop = at[q][0] if q < len(w) else len(text)
+            if not gone[p]:
+                kept += text[at[p][0] : stop]
+            elif p and line[p - 1] == line[p] and "\n" in text[at[q - 1][1] : stop]:
+                kept += text[at[q - 1][1] : stop]
+            p = q
+        out[i] = kept
+    return out
+
+
+@pytest.mark.parametrize(("least", "chars", "window"), [(1, 1000, 0), (3, 9, 0), (1000, 1000, 3), (4, 12, 4)])
+def test_repeats_against_brute_force(spark, least, chars, window):
+    rng = random.Random(least + window)
+    parts = ["a b c", "A  b c", "d e", "f", "", " g h i j", "été 水水 x", "k l m n o p", "　q r"]
+    docs = [(i, "".join(rng.choice(parts) + rng.choice(["\n", " ", "\n\n", " \t"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    out = substring_dedup.without_repeats(df, least, chars, window).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == brute_force_rest(docs, least, chars, window)
+    texts = dict(docs)
+    for r in out:
+        gone = [(s["start"], s["end"]) for s in r["removed"]]
+        cuts = [0, *(x for s in gone for x in s), None]
+        assert gone == sorted(gone) and "".join(texts[r["doc_id"]][a:b] for a, b in zip(cuts[::2], cuts[1::2])) == r["text"]
+
+
+def test_repeated_passages(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = [prose(55) for _ in range(12)]
+    docs, planted = [], []
+    for i in range(120):
+        body = prose(80).split(" ")
+        if i % 3 == 0:
+            at, p = rng.randrange(80), passages[i % 12]
+            body[at:at] = [p if i % 2 else p.replace(" ", "\n", 3)]
+            planted.append((i, p))
+        docs.append((i, " ".join(body)))
+    big = prose(60_000)
+    docs += [(1000, big), (1001, "before " + big + " after"), (2000, "shared head"), (2000, passages[1] + " of the same id"), (2000, passages[1] + " of that id")]
+    out = {}
+    for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect():
+        out.setdefault(r["doc_id"], []).append(r["text"])
+    seen = set()
+    for i, p in planted:
+        left = len(set(p.split()) & set(out[i][0].split())) / len(set(p.split()))
+        assert left == 1 if p not in seen else left <= 0.2
+        seen.add(p)
+    assert all(out[i] == [t] for i, t in docs if i < 1000 and i % 3)
+    assert out[1000] == [big] and len(out[1001][0]) < 100 and out[1001][0].startswith("before ") and out[1001][0].endswith(" after")
+    assert len(out[2000]) == 3 and sum(p.startswith(passages[1] + " of") for p in out[2000]) == 1 and sum(len(p) < 100 for p in out[2000]) == 2
+
+
+def test_passages_of_short_lines_and_of_one_word(spark):
     verse = "\n".join(f"verse {i} of the song" for i in range(12))  # 60 words, five a line
-    script = "\u6c34" * 70  # one word to the eye of white space
-    rows = [
-        (1, f"own start\n{verse}\nown end"),
-        (2, f"other start\nmore\n{verse.upper()}\nother end"),
-        (3, "\n".join(f"verse {i} of the song" for i in range(8))),  # too short a run
-        (4, "\n".join(["la la"] * 100)),
-        (5, f"x\n{script}"),
-        (6, f"y\n{script}"),
-        (6, f"y\n{script}"),
-        (7, None),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(df, min_chars=40, passage_words=50).collect()), key=repr)
-    want = [rows[0], (2, "other start\nmore\nother end"), rows[2], (4, "\n".join(["la la"] * 25)), rows[4], (6, "y"), (6, "y"), rows[7]]
-    assert got == sorted(want, key=repr)
-    assert substring_dedup.repeated_spans(df).count() == 0  # by words alone
+    script = "水" * 70  # one word to the eye of white space
+    rows = [(1, f"own start\n{verse}\nown end"), (2, f"other start\nmore\n{verse.upper()}\nother end"), (4, "\n".join(["la la"] * 100)), (5, f"x\n{script}"), (6, f"y\n{script}"), (6, f"y\n{script}"), (7, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert {r for r in got if r[0] != 2} == {rows[0], (4, "\n".join(["la la"] * 8) + "\n"), rows[3], (6, "y\n"), rows[6]} and len(got) == 7
+    other = next(t for i, t in got if i == 2)
+    assert other.startswith("other start\nmore\n") and other.endswith("other end") and len(other.split()) < 12
