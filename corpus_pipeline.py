@@ -36,8 +36,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of ten words or 40 characters, and runs of lines of 50 words, that an earlier place has."""
-    return substring_dedup.without_repeats(docs, removed_col="_spans", min_chars=40, passage_words=50).select(*docs.columns)
+    """All documents, without lines of ten words or 40 characters, and passages of 16 words, that an earlier place has.
+
+    Null texts stay null, and a text of which nothing is left is empty. Rows that repeat id and text lose the same parts.
+    """
+    return substring_dedup.without_repeats(docs, removed_col="_spans").select(*docs.columns)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
