@@ -1,7 +1,8 @@
 """Substring de-duplication by units: lines, and passages that begin and end anywhere.
 
-Units are whole lines and, for passages inside lines or across them, every run of `window` words that begins at an anchor.
-Anchors follow from the words alone (about every other word is one), so two copies of a passage have the same units in it.
+Units are whole lines and, for passages inside lines or across them, runs of `window` words that begin at anchors. Of any
+STEP neighbouring words one at least is an anchor, and which one follows from these words alone. So two copies of a passage
+have the same units in it, and all of it is in such units but for STEP - 1 words at each end.
 Units are normalised and digested, digests are grouped over the whole corpus, the occurrence of the earliest rank stays, and
 the words of every other are removed, with their places in the original text kept.
 
@@ -22,7 +23,8 @@ from . import words
 from .shared import release, table, written
 from .words import mix
 
-WINDOW = 16  # words of a passage's unit; a shared passage of this size may be found, one of 50 words nearly always is
+WINDOW = 16  # words of a passage's unit
+STEP = 5  # so a shared passage of WINDOW + STEP - 1 words is found; about every third word is an anchor
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -60,10 +62,16 @@ def _units(part: pa.Array, min_words: int, min_chars: int, window: int) -> tuple
     letters = np.concatenate([[0], np.cumsum(chars[w.ends] - chars[w.starts])])
     long_enough = (b - a >= min_words) | (letters[b] - letters[a] + b - a - 1 >= min_chars)
     a, b = a[long_enough], b[long_enough]
-    # Passages: `window` words from each word on whose kind is that of the next word.
-    kind = (w.ends - w.starts + w.bytes[w.starts] + w.bytes[w.ends - 1]) & 1
-    c = np.flatnonzero(kind[:-1] == kind[1:]) if window else np.zeros(0, np.int64)
-    c = c[c + window <= w.first[text[c] + 1]]
+    # Passages: of any STEP neighbouring words that may begin one, that of the least key (the earliest of these) does.
+    c = np.flatnonzero(np.arange(n) + window <= w.first[text + 1]) if window else np.zeros(0, np.int64)
+    size, head, tail = w.ends - w.starts, w.bytes[w.starts].astype(np.int64), w.bytes[w.ends - 1].astype(np.int64)
+    key = (7 * size[c] * head[c] + 31 * tail[c] + 13 * head[c + 1] + size[c + 1]) % 257
+    few = np.bincount(text[c], minlength=len(part))[text[c]] < STEP
+    chosen = few.copy()
+    if len(c) >= STEP:
+        least = np.lib.stride_tricks.sliding_window_view(key, STEP).argmin(axis=1) + np.arange(len(c) - STEP + 1)
+        chosen[least[text[c[: len(least)]] == text[c[STEP - 1 :]]]] = True
+    c = c[chosen]
     first, last = np.concatenate([a, c]), np.concatenate([b, c + window])
     digest = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
     digest = mix(digest ^ np.where(np.arange(len(first)) < len(a), _LINE, _PASSAGE))
@@ -76,10 +84,10 @@ def _units(part: pa.Array, min_words: int, min_chars: int, window: int) -> tuple
 def units(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW) -> DataFrame:
     """The units of docs (doc_id, text): doc, text_hash, digest, place and again.
 
-    Units are the lines of at least min_words words or min_chars normalised characters, and the runs of `window` words of
-    one text that begin at a word whose kind (the parity of its bytes and of the first and the last of them) is that of the
-    next word; a window of 0 leaves these out. place: the first word's number times 2**32, plus the number of words. again:
-    whether the unit repeats one of its own text that ends before it. doc: doc_id, the least long for null.
+    Units are the lines of at least min_words words or min_chars normalised characters, and the runs of `window` words (two
+    at least) that begin at an anchor; a window of 0 leaves these out. A text with fewer than STEP runs has them all as units.
+    place: the first word's number times 2**32, plus the number of words. again: whether the unit repeats one of its own text
+    that ends before it. doc: doc_id, the least long for null.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,11 +199,15 @@ WITH t AS (
     coalesce(sum(CASE WHEN strpos(token, chr(10)) > 0 THEN 1 ELSE 0 END) OVER b, 0) AS line
   FROM w WINDOW b AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY doc_id ORDER BY i)
 ), k AS (
-  SELECT *, (octet_length(encode(word)) + CAST('0x' || hex(encode(word))[1:2] AS INT) + CAST('0x' || hex(encode(word))[-2:] AS INT)) % 2 AS kind FROM p
-), d AS (SELECT doc_id, list(word ORDER BY i) AS words, list(kind ORDER BY i) AS kinds FROM k GROUP BY doc_id), u AS (
+  SELECT doc_id, i, word, octet_length(encode(word)) AS size, CAST('0x' || hex(encode(word))[1:2] AS INT) AS head, CAST('0x' || hex(encode(word))[-2:] AS INT) AS tail FROM p
+), d AS (SELECT doc_id, list(word ORDER BY i) AS words FROM k GROUP BY doc_id), e AS (
+  SELECT doc_id, i, (7 * size * head + 31 * tail + 13 * lead(head) OVER v + lead(size) OVER v) % 257 AS key FROM k WINDOW v AS (PARTITION BY doc_id ORDER BY i)
+), o AS (SELECT e.*, len(words) - 15 AS n FROM e JOIN d USING (doc_id) WHERE i + 16 <= len(words)), l AS (
+  SELECT doc_id, min(key * 4294967296 + i) OVER v % 4294967296 AS i, count(*) OVER v AS c FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
+), anchors AS (SELECT doc_id, i FROM l WHERE c = 5 UNION SELECT doc_id, i FROM o WHERE n < 5), u AS (
   SELECT doc_id, min(i) AS first, count(*) AS size, 'line ' || string_agg(word, ' ' ORDER BY i) AS body FROM p GROUP BY doc_id, line
     HAVING count(*) >= 10 OR sum(length(word)) + count(*) - 1 >= 40
-  UNION ALL SELECT doc_id, i, 16, array_to_string(words[i + 1 : i + 16], ' ') FROM d, unnest(range(0, len(words) - 15)) AS r(i) WHERE kinds[i + 1] = kinds[i + 2]
+  UNION ALL SELECT doc_id, i, 16, array_to_string(words[i + 1 : i + 16], ' ') FROM anchors JOIN d USING (doc_id)
 ), f AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first_doc, first_value(first + size) OVER (PARTITION BY body, doc_id ORDER BY first) AS first_end FROM u
 ), g AS (
   SELECT DISTINCT doc_id, unnest(range(first, first + size)) AS i FROM f WHERE doc_id > first_doc OR first >= first_end

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,9 +31,15 @@ def random_texts(n, seed=1):
 def test_encoder_equals_the_library():
     texts = [t for t in ODD if t is not None] + random_texts(5000)
     encoder = pieces.PieceEncoder(VOCAB, keep=500)  # a small memo starts anew again and again
-    got = [x for g in pieces.in_groups(texts, 2000) for x in encoder.encode(g)]
-    want = library().encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, encoder.dtype).tolist() for x in got] == [e.ids for e in want]
+    texts += ["Word, word. Word\n\nNew (word); it's a1b2 l'été... " + w for w in ("x", "<|endoftext|>,", "na\u00efve!", "\u0939\u093f\u0928,", "a\u00a0b", "\u3000")]
+    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    for end in (None, 7):
+        got = []
+        for g in pieces.in_groups(texts, 2000):
+            ids, count = encoder.encode(pa.array(g), end)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
+        assert got == [ids + [7] * (end is not None) for ids in want]
+    assert [len(x) for x in encoder.encode(pa.array([], pa.string()))] == [0, 0] and encoder.encode(pa.array([""]), 7)[0].tolist() == [7]
 
 
 def test_counter_equals_the_library():
@@ -191,7 +198,7 @@ def test_repeated_lines(spark):
 def brute_force_rest(docs, least, chars, window):
     """Cleaned texts of docs (in order of rank, no id twice) by sets of word tuples."""
     low = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    kind = lambda w: (len(w.encode()) + w.encode()[0] + w.encode()[-1]) % 2
+    key = lambda a, b: (7 * len(a) * a[0] + 31 * a[-1] + 13 * b[0] + len(b)) % 257
     first, out = {}, {}
     for i, text in docs:
         at = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", text)]
@@ -203,7 +210,9 @@ def brute_force_rest(docs, least, chars, window):
             if len(own) >= least or len(" ".join(w[p] for p in own)) >= chars:
                 found.append(("line", own[0], own[-1] + 1))
         if window:
-            found += [("passage", p, p + window) for p in range(len(w) - window + 1) if kind(w[p]) == kind(w[p + 1])]
+            keys = [key(w[p].encode(), w[p + 1].encode()) for p in range(len(w) - window + 1)]
+            chosen = {min(range(p, p + 5), key=lambda q: (keys[q], q)) for p in range(len(keys) - 4)} if len(keys) >= 5 else range(len(keys))
+            found += [("passage", p, p + window) for p in sorted(chosen)]
         gone = [False] * len(w)
         for what, a, b in found:
             doc, end = first.setdefault((what, tuple(w[a:b])), (i, b))
@@ -272,6 +281,7 @@ def test_passages_of_short_lines_and_of_one_word(spark):
     script = "水" * 70  # one word to the eye of white space
     rows = [(1, f"own start\n{verse}\nown end"), (2, f"other start\nmore\n{verse.upper()}\nother end"), (4, "\n".join(["la la"] * 100)), (5, f"x\n{script}"), (6, f"y\n{script}"), (6, f"y\n{script}"), (7, None)]
     got = sorted(((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
-    assert {r for r in got if r[0] != 2} == {rows[0], (4, "\n".join(["la la"] * 8) + "\n"), rows[3], (6, "y\n"), rows[6]} and len(got) == 7
+    # Of (4), a unit's 16 words stay and, at its end, STEP - 1.
+    assert {r for r in got if r[0] != 2} == {rows[0], (4, "\n".join(["la la"] * (8 + 2))), rows[3], (6, "y\n"), rows[6]} and len(got) == 7
     other = next(t for i, t in got if i == 2)
     assert other.startswith("other start\nmore\n") and other.endswith("other end") and len(other.split()) < 12
