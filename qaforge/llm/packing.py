@@ -118,15 +118,17 @@ def document_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.of_worker(pieces.PieceEncoder, vocab_path)
         for batch in batches:
-            for at, part in words.groups(batch.column("text")):
-                rows = []
-                for doc_id, raw in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), encoder.encode(part.to_pylist())):
-                    body = np.append(np.frombuffer(raw, encoder.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4").tobytes()
-                    total, start, piece = len(body) // 4, 0, 0
+            for at, part in words.groups(batch.column("text"), pieces.GROUP):
+                rows, begin = [], 0
+                ids, count = encoder.encode(part, end_id)
+                body = memoryview(ids.astype("<u4").tobytes())
+                for doc_id, total in zip(batch.column("doc_id").slice(at, len(part)).to_pylist(), count.tolist()):
+                    start, piece = 0, 0
                     while start < total:
                         n = (total - 1) % capacity + 1 if start == 0 else capacity
-                        rows.append((doc_id, piece, start, n, zlib.crc32(body[4 * start : 4 * (start + n)])))
+                        rows.append((doc_id, piece, start, n, zlib.crc32(body[4 * (begin + start) : 4 * (begin + start + n)])))
                         start, piece = start + n, piece + 1
+                    begin += total
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return doc_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")

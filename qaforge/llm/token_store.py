@@ -107,7 +107,6 @@ def _open(uri: str):
 def _shard_writer(uri: str, vocab_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pieces.of_worker(pieces.PieceEncoder, vocab_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
         name, stream, offset, last, times = f"{uuid.uuid4().hex}.bin", None, 0, "no id yet", 0
         try:
             for batch in batches:
@@ -115,13 +114,13 @@ def _shard_writer(uri: str, vocab_path: str, end_id: int):
                     filesystem, folder = _open(f"{uri}/ids")
                     filesystem.create_dir(folder, recursive=True)
                     stream = filesystem.open_output_stream(f"{folder}/{name}")
-                for first, part in words.groups(batch.column("text")):
+                for first, part in words.groups(batch.column("text"), pieces.GROUP):
                     rows = []
-                    for doc_id, raw in zip(batch.column("doc_id").slice(first, len(part)).to_pylist(), encoder.encode(part.to_pylist())):
+                    ids, count = encoder.encode(part, end_id)
+                    stream.write(ids.tobytes())
+                    for doc_id, n in zip(batch.column("doc_id").slice(first, len(part)).to_pylist(), count.tolist()):
                         times = times + 1 if doc_id == last else 0
                         last = doc_id
-                        stream.write(raw + end)
-                        n = len(raw) // encoder.dtype.itemsize + 1
                         rows.append((doc_id, times, name, offset, n))
                         offset += n
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "occurrence", "file", "at", "n_tokens"])
