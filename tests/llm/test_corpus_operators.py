@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from qaforge.llm import decontamination, language_model, ngram_join, shared, top_k, toxicity
+from qaforge.llm import decontamination, language_model, ngram_join, shared, top_k, toxicity, words
 from qaforge.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -219,25 +220,25 @@ def test_language_model(spark, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
     # P(class | history) and P(word | class) both sum to one.
     vocabulary = model.vocabulary
-    rows_of = language_model._rows(language_model.Tokens(__import__("pyarrow").array(["a1 b2 c"])))
-    assert np.exp(language_model._log_softmax(model.weights, model.bias, rows_of)).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    rows_of = language_model._rows(language_model.Tokens(pa.array(["a1 b2 c"])))
+    _, e, total = language_model._softmax(model.weights, model.bias, rows_of)
+    assert (e / total).sum(axis=0) == pytest.approx(1, abs=1e-5)
     within = 10.0 ** -vocabulary.within[vocabulary.classes] * (vocabulary.counts[: len(vocabulary.classes)] + 1)
     sums = np.bincount(vocabulary.classes, within, language_model.CLASSES)
     assert all(s == pytest.approx(1) for s in sums[:-1] if s)
     assert language_model.scores(df.limit(0), model).count() == 0
 
 
-def test_language_model_learns_every_pair(spark, monkeypatch):
+def test_language_model_learns_pairs(spark, monkeypatch):
     # Each word has one word after it; all these words are of a kind, so classes cannot tell which.
     docs = [(i, f"u{i % 300} v{i % 300}") for i in range(3000)]
     train = spark.createDataFrame(docs, DOCS)
     asked = spark.createDataFrame([(i, f"u{i} v{j}") for i in range(0, 300, 7) for j in (i, (i + 1) % 300)] + [(-1, "u1 unseen v1"), (-2, "u1 v1 " * 50)], DOCS)
     want = None
-    for k in ("VOCABULARY", "ANCHORS"):
-        monkeypatch.setattr(language_model, k, 1)  # the same classes whatever HEAD is
-    for head, pairs, slices in ((1 << 20, 1 << 20, 8), (1 << 20, 40, 3), (20, 1, 2)):
-        for k, x in (("HEAD", head), ("PAIRS", pairs), ("SLICES", slices)):
-            monkeypatch.setattr(language_model, k, x)
+    for k, x in (("VOCABULARY", 1), ("ANCHORS", 1), ("LEAST", 5)):
+        monkeypatch.setattr(language_model, k, x)
+    for pairs in (1 << 20, 40, 1):
+        monkeypatch.setattr(language_model, "PAIRS", pairs)
         model = language_model.fit(train.select("text").coalesce(1))
         got = {(r["doc_id"], r["text_is"]): r["score"] for r in language_model.scores(asked.withColumn("text_is", F.col("text")), model).collect()}
         assert model.pairs.count() == 300 * 3 and model.pairs.agg(F.sum("c")).first()[0] == 9000
@@ -246,6 +247,59 @@ def test_language_model_learns_every_pair(spark, monkeypatch):
         assert all(got[k] == pytest.approx(want[k], rel=1e-5) for k in want)
 
 
+@pytest.mark.parametrize(("head", "least"), [(1 << 20, 128), (40, 3), (1 << 20, 1)])
+def test_language_model_scores_by_hand(spark, monkeypatch, head, least):
+    """Each score from the model's weights, classes and plain counts, in plain Python; and P sums to one over all words."""
+    rng = random.Random(head + least)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(0, 30)))) for i in range(150)]
+    train, df = docs[:100], spark.createDataFrame(docs + [(900, ""), (901, "w1 new w1 w2"), (902, "w1 w2 " * 20_000)], DOCS)
+    for k, x in (("HEAD", head), ("LEAST", least), ("VOCABULARY", 30), ("PAIRS", 20)):
+        monkeypatch.setattr(language_model, k, x)
+    model = language_model.fit(spark.createDataFrame(train, DOCS).select("text"))
+    voc, c, follows = model.vocabulary, Counter(), Counter()
+    rank_of = {int(h): r for r, h in enumerate(voc.head)}
+    hash_of = lambda w: language_model.END if w is None else words.hash_word(w)
+    rank = lambda w: rank_of.get(hash_of(w), -1)
+    for _, t in train:
+        c.update([*spaced(t), None])
+    frequent = lambda w: 0 <= rank(w) and c[w] >= least
+    for _, t in train:
+        tokens = [*spaced(t), None]
+        for a, b in zip(["<start>", *tokens], tokens):
+            if (a == "<start>" or frequent(a)) and frequent(b):
+                follows[a, b] += 1
+    followed = Counter()
+    for (a, _), k in follows.items():
+        followed[a] += k
+    n, v = sum(c.values()), len(c)
+    size = len(voc.classes)
+    total = Counter()
+    for w in c:
+        if 0 <= rank(w) < size:
+            total[int(voc.classes[rank(w)])] += c[w] + 1
+    last = language_model.CLASSES - 1
+    total[last] = sum(c[w] + 1 for w in c if not 0 <= rank(w) < size) + 1
+
+    def share(tokens, i, w):
+        rows = language_model._rows(language_model.Tokens(pa.array([" ".join(tokens)])))[:, i]
+        z = model.bias + sum(model.weights[:, r] for r in rows)
+        p_class = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        label = int(voc.classes[rank(w)]) if 0 <= rank(w) < size else last
+        p = float(p_class[label]) * (c[w] + 1) / total[label]
+        before = tokens[i - 1] if i else "<start>"
+        return (follows[before, w] + 64 * p) / (followed[before] + 64) if before == "<start>" or frequent(before) else p
+
+    got = {r["doc_id"]: r["score"] for r in language_model.scores(df, model).collect()}
+    for i, t in [*docs[::9], *docs[95:105], (900, ""), (901, "w1 new w1 w2")]:
+        tokens = spaced(t)
+        by_hand = sum(math.log10(share(tokens, k, w)) for k, w in enumerate([*tokens, None]))
+        assert got[i] == pytest.approx(by_hand, rel=1e-4)
+    assert math.isfinite(got[902])
+    # All training words and one that is new.
+    for tokens, i in ((["w1", "w2"], 2), (["w1"], 0), (["new"], 1)):
+        assert sum(share(tokens, i, w) for w in [*c, "never seen"]) == pytest.approx(1, rel=1e-4)
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b")], DOCS)
     model = language_model.fit(df.limit(0).select("text"))
