@@ -129,7 +129,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12, smooth: float = 2.0, power: float = 1.5, seed: int = 1) -> Model:
-    """Joint stochastic gradient descent on vectors and softmax; both classes should come in like numbers.
+    """Joint stochastic gradient descent on vectors and softmax.
 
     Each n-gram's vector is scaled by how unlike the shares of the two classes' texts are that hold it, so that n-grams of a
     few texts move little. Steps are normalised by the length of their gradient; the mean of the later epochs is kept. Of a
@@ -141,7 +141,8 @@ def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12,
         return Model(np.zeros(BUCKETS), 0.0)
     for y, bag, _ in bags:
         share[y, np.unique(bag.bucket)] += 1
-    share = (share + smooth) / (n[:, None] + 2 * smooth)
+    extra = 2 * smooth * n[:, None] / n.sum()  # in proportion, so that an n-gram of few texts speaks for no class
+    share = (share + extra) / (n[:, None] + 2 * extra)
     scale = np.abs(np.log(share[1] / share[0])) ** power
     rng = np.random.default_rng(seed)
     vectors, softmax, bias = rng.normal(0, 1e-4, (BUCKETS, dims)), np.stack([-np.ones(dims), np.ones(dims)], 1) / (2 * dims**0.5), 0.0
@@ -173,10 +174,10 @@ def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12,
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
     """A model of docs (doc_id, text) and labels (doc_id, toxic).
 
-    The bias follows the share of toxic texts among all labels. The rest is learnt from a bounded sample: of each class the per_class labelled documents of the smallest hashes of their ids,
-    with their whole texts. Of rows that repeat an id, the text of the smallest hash stands for it, so the sample is of
-    2 * per_class texts at most; its bytes are bounded by that many times the longest text. A document labelled more than once counts as toxic if one label says so; null labels and
-    labels without a document are left out.
+    The bias follows the share of toxic texts among all labels. The rest is learnt from a bounded sample: of each class the
+    per_class labelled documents of the smallest hashes of their ids, with their whole texts. Of rows that repeat an id, the text of the smallest hash stands for it, so the sample is of
+    2 * per_class texts at most; its bytes are bounded by that many times the longest text. A document labelled more than once
+    counts as toxic if one label says so; null labels and labels without a document are left out.
     """
     bounded_batches(docs.sparkSession)
     classes = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -190,15 +191,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
         got = [r for batch in batches for r in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
         got.sort()  # the same model whatever the order of rows
         model = train([t for t, _ in got], [int(y) for _, y in got])
-        yield pa.RecordBatch.from_arrays([pa.array([model.s.astype("<f8").tobytes()]), pa.array([model.bias])], ["s", "bias"])
+        learnt = sum(int(y) for _, y in got)
+        yield pa.RecordBatch.from_arrays([pa.array([model.s.astype("<f8").tobytes()]), pa.array([model.bias]), pa.array([learnt]), pa.array([len(got) - learnt])], ["s", "bias", "toxic", "clean"])
 
     # The bounded sample is learnt in one task; the driver gets BUCKETS numbers.
-    found = rows.repartition(1).mapInArrow(learn, "s binary, bias double").first()
+    found = rows.repartition(1).mapInArrow(learn, "s binary, bias double, toxic long, clean long").first()
     if not found:
         return Model(np.zeros(BUCKETS), 0.0)
     model = Model(np.frombuffer(found["s"], "<f8"), found["bias"])
-    if 0 < n_toxic < n:
-        model.bias += float(np.log(n_toxic / (n - n_toxic)))
+    if 0 < n_toxic < n and found["toxic"] and found["clean"]:
+        # The sample's own ratio of the classes is in the bias already.
+        model.bias += float(np.log(n_toxic / (n - n_toxic)) - np.log(found["toxic"] / found["clean"]))
     return model
 
 

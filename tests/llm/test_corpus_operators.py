@@ -339,6 +339,56 @@ def test_toxicity(spark):
     assert toxicity.fit(docs.drop("toxic"), labels.limit(0)).score(["moron"])[0] == 0.5
 
 
+def plain_score(model, text):
+    """A text's score from the model's n-gram sums, in plain Python: words, n-grams and passages one by one."""
+    base, full = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    said, kept = ["", ""], []
+    for w in re.findall(r"[^\W_]+", text.lower()):
+        if w not in said[-2:]:
+            kept.append(w)
+        said.append(w)
+    logits = []
+    for w in kept:
+        codes = [1, *map(ord, w), 1]
+        grams = [codes[k : k + n] for n in toxicity.SIZES for k in range(len(codes) - n + 1)]
+        own = [model.s[mixed((sum(c * pow(base, k, 1 << 64) for k, c in enumerate(g)) + len(g)) & full) % toxicity.BUCKETS] for g in grams]
+        logits.append(sum(own) / len(own))
+    best = None
+    for at in range(0, max(1, len(kept) - toxicity.PASSAGE // 2), toxicity.PASSAGE // 2):
+        part = logits[at : at + toxicity.PASSAGE]
+        if part:
+            z = model.bias + sum(part) / max(len(part), toxicity.LEAST)
+            best = z if best is None else max(best, z)
+    return 1 / (1 + math.exp(-(model.bias if best is None else best)))
+
+
+def test_scores_in_plain_python(spark):
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS), -0.4)
+    texts = ["", "?!", "a", "One one two one two", "\u00c9t\u00e9 na\u00efve_x 12", " ".join(f"w{k * k % 97}x" for k in range(400)), "long " + "x" * 5000, "\u6c34\u6c34"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(90, None)], DOCS)
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_scores(docs, model).collect()}
+    assert all(got[i] == pytest.approx(plain_score(model, t), abs=1e-5) for i, t in [*enumerate(texts), (90, "")])
+
+
+def test_unequal_classes(spark):
+    """The sample's ratio of the classes counts once: toxic texts are found where they are few."""
+    rows = toxic_corpus(1600, 21)
+    few = [r for r in rows if not r[2]] + [r for r in rows if r[2]][:160]
+    docs = spark.createDataFrame([r[:2] for r in few], DOCS)
+    model = toxicity.fit(docs, toxicity.learnable(spark.createDataFrame([(i, y) for i, _, y in few], "doc_id long, toxic int")))
+    held = [(i, t, y) for i, t, y in few if zlib.crc32(str(i).encode()) % 3 == 1]
+    found = model.score([t for _, t, _ in held]) >= 0.7
+    toxic = np.array([y for _, _, y in held]) == 1
+    assert (found & toxic).sum() >= 0.9 * toxic.sum() and (found & toxic).sum() >= 0.95 * found.sum()
+
+
 def test_a_repeated_id_is_learnt_once(spark):
     rows = toxic_corpus(200)
     docs = spark.createDataFrame([r[:2] for r in rows], DOCS)
