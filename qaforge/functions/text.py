@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+_WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(_WS_CHARS))
 
 
 def collapse(c: Column) -> Column:
-    """Strip, and one space for each run of white space."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    """Strip, and one space for each run of white space. Runs that are one space already match nothing."""
+    return F.trim(F.regexp_replace(c, f" {WS}+|(?! ){WS}{WS}*", " "))
 
 
 def sha256(c: Column) -> Column:

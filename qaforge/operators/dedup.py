@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import content_id
 from ..schema import CONTEXT_SIMILARITY
-from .similarity import similar_texts
+from ..sources.store import staged
+from .similarity import ratio_udf, similar_texts
 from .validate import confidence_or_one, required
 
 
@@ -43,6 +44,9 @@ def classify(batch: DataFrame, store: DataFrame, threshold: float = 0.9, context
     """
     ids = store.groupBy("id").agg(F.first("id").alias("_exact")).select("id", "_exact")
     probed = batch.join(ids, "id", "left")
+    if threshold < 1 or context_threshold < 1:
+        # Both sides are read several times from here on.
+        probed, store = staged(probed, "probed"), staged(store.select("id", "seq", "question", "context", "source_url"), "compared")
     new = probed.where("_exact IS NULL")
     empty = F.lit("")
     side = lambda df, name: df.select(F.coalesce("source_url", empty).alias("source_url"), F.coalesce("question", empty).alias(f"q{name}"), F.coalesce("context", empty).alias(f"c{name}"), F.col("id").alias(f"id_{name}"), F.col("seq").alias(f"seq_{name}"))
@@ -54,8 +58,6 @@ def classify(batch: DataFrame, store: DataFrame, threshold: float = 0.9, context
     if context_threshold >= 1:
         passed = pairs.where("ca = cb")
     else:
-        from .similarity import ratio_udf
-
         contexts = pairs.select("ca", "cb").distinct().withColumn("_r", ratio_udf(context_threshold)("ca", "cb")).where("_r IS NOT NULL").drop("_r")
         passed = pairs.join(contexts, ["ca", "cb"])
     best = passed.groupBy("id_a", "seq_a").agg(F.min_by(F.struct(F.col("id_b"), F.col("ratio")), "seq_b").alias("_hit"))

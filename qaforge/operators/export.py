@@ -12,10 +12,13 @@ from ..functions.text import dataset_name
 from .qa import flat
 
 
+def _json(c: str) -> Column:
+    return F.to_json(c, {"ignoreNullFields": "false"})
+
+
 def items(qa: DataFrame) -> DataFrame:
     """id, and input, expected_output and metadata as JSON; the last two are null where a row has none."""
-    js = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
-    return qa.select("dataset_id", "id", js("input").alias("input"), F.when(F.col("expected_output").isNotNull(), js("expected_output")).alias("expected_output"), F.when(F.col("qa_metadata").isNotNull(), js("qa_metadata")).alias("metadata"))
+    return qa.select("dataset_id", "id", _json("input").alias("input"), F.when(F.col("expected_output").isNotNull(), _json("expected_output")).alias("expected_output"), F.when(F.col("qa_metadata").isNotNull(), _json("qa_metadata")).alias("metadata"))
 
 
 def preview(qa: DataFrame, n: int = 3) -> DataFrame:
@@ -23,16 +26,22 @@ def preview(qa: DataFrame, n: int = 3) -> DataFrame:
     totals = qa.groupBy("dataset_id").agg(F.count("*").alias("total_items"))
     # Spark limits each group before the shuffle, as only the first n ranks are asked for.
     ranked = qa.withColumn("place", F.row_number().over(Window.partitionBy("dataset_id").orderBy("seq"))).where(F.col("place") <= n)
-    shown = items(ranked).join(ranked.select("id", "dataset_id", "place", "seq"), ["dataset_id", "id"]).join(totals, "dataset_id")
+    shown = ranked.select("dataset_id", "place", "id", _json("input").alias("input")).join(totals, "dataset_id")
+    # The note's wording is a fixed value.
     note = F.format_string("Showing %d items out of %d total", F.least(F.lit(n).cast("long"), F.col("total_items")), F.col("total_items"))
     return shown.select("dataset_id", "place", "id", "input", "total_items", note.alias("preview_note"))
 
 
 def file_items(rows: DataFrame, name: Column) -> DataFrame:
-    """Items of a file's array `items` (FILE_ITEM structs) in its order: ids default to item_<n>, confidence to 1, context to ''."""
+    """Items of a file's array `items` (FILE_ITEM structs) in its order: ids default to item_<n>, confidence to 1, context to ''.
+
+    An item without a question or an answer (null; empty ones pass) is an error that names its file.
+    """
     one = rows.select(name.alias("file"), F.posexplode("items").alias("n", "x"), F.size("items").alias("total_items"))
     id_ = F.coalesce("x.id", F.concat(F.lit("item_"), F.col("n").cast("string")))
-    return one.select(dataset_name(F.col("file")).alias("dataset"), id_.alias("id"), F.col("x.question").alias("question"), F.col("x.answer").alias("answer"), F.coalesce("x.confidence", F.lit(1.0)).alias("confidence"), F.coalesce("x.context", F.lit("")).alias("context"), "total_items")
+    whole = F.col("x.question").isNotNull() & F.col("x.answer").isNotNull()
+    failed = F.raise_error(F.concat(F.lit("question and answer are required in each item of "), F.coalesce("file", F.lit("a file")))).cast("boolean")
+    return one.where(F.when(whole, F.lit(True)).otherwise(failed)).select(dataset_name(F.col("file")).alias("dataset"), id_.alias("id"), F.col("x.question").alias("question"), F.col("x.answer").alias("answer"), F.coalesce("x.confidence", F.lit(1.0)).alias("confidence"), F.coalesce("x.context", F.lit("")).alias("context"), "total_items")
 
 
 def send(rows: DataFrame, sink: Callable[[], Callable[[dict], None]]) -> DataFrame:

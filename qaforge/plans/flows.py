@@ -9,6 +9,7 @@ from ..functions.html import page_text
 from ..functions.text import chunks, content_id, sha256
 from ..operators import dedup, validate
 from ..schema import EngineConfig
+from ..sources.store import staged
 from .models import Cleaner, Generator, offline_cleaner, offline_generator
 
 
@@ -22,13 +23,23 @@ def pairs_of(texts: DataFrame, generator: Generator, keep: list[str]) -> DataFra
     return texts.select(*keep, F.posexplode(generator(F.col("text"))).alias("index", "p")).select(*keep, "index", "p.question", "p.answer", "p.context", "p.confidence")
 
 
-def generate(pages: DataFrame, store: DataFrame, config: EngineConfig = EngineConfig(), cleaner: Cleaner = offline_cleaner, generator: Generator = offline_generator) -> DataFrame:
+def checked_models(config: EngineConfig, *names: str) -> None:
+    """An error for a model's name that the configuration does not list."""
+    for name in names:
+        if name not in config.models:
+            raise ValueError(f"model {name!r} is not among {list(config.models)}")
+
+
+def generate(pages: DataFrame, store: DataFrame, config: EngineConfig = EngineConfig(), cleaner: Cleaner = offline_cleaner, generator: Generator = offline_generator, models: tuple[str, ...] = ("offline",)) -> DataFrame:
     """Classified rows for pages (page_id, url, html) against a store (id, seq, question, context, source_url).
 
     Identity and similarity look at the page's whole cleaned text as context. Pairs that are not valid drop all of their page.
+    The models run once: what they gave is written before its rows are validated and compared. models: their names, which
+    must be among those of the configuration.
     """
+    checked_models(config, *models)
     cleaned = snapshots(pages).where("content <> ''").select("page_id", F.col("url").alias("source_url"), cleaner(F.col("content")).alias("text"))
-    pairs = pairs_of(cleaned, generator, ["page_id", "source_url", "text"])
+    pairs = staged(pairs_of(cleaned, generator, ["page_id", "source_url", "text"]), "generated")
     valid = validate.valid_rows(pairs, batch="page_id").withColumn("context", F.col("text")).drop("text")
     rows = valid.withColumns({"id": content_id(F.col("question"), F.col("context"), F.col("source_url")), "seq": F.col("page_id") * 1_000_000 + F.col("index")})
     return dedup.ingest(rows, store, config.similarity)

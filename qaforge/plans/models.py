@@ -38,16 +38,17 @@ def offline_cleaner(text: Column, limit: int = 10_000) -> Column:
 def offline_generator(text: Column, words: int = 6) -> Column:
     """A pair for each line of at least 50 characters and `words` words: asked by its first words, answered by the line,
     which is also the context. Confidence is the line's share of letters, in steps of 1/4."""
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(strip(x)) >= 50) & (F.size(F.split(strip(x), f"{WS}+")) >= words))
+    # Each line is stripped once, and cut no further than its first words.
+    bodies = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) >= 50)
+    lines = F.transform(bodies, lambda x: F.struct(x.alias("body"), F.split(x, f"{WS}+", words + 1).alias("start")))
 
     def pair(line: Column) -> Column:
-        body = strip(line)
-        start = F.array_join(F.slice(F.split(body, f"{WS}+"), 1, words), " ")
-        letters = F.length(F.regexp_replace(body, r"[^\p{L}]", ""))
+        body, start = line["body"], F.array_join(F.slice(line["start"], 1, words), " ")
+        letters = F.length(F.regexp_replace(body, r"[^\p{L}]+", ""))
         share = F.floor(4 * letters / F.length(body)) / 4
         return F.struct(F.concat(F.lit("What is said about: "), F.substring(start, 1, 400), F.lit("?")).alias("question"), body.alias("answer"), body.alias("context"), share.cast("double").alias("confidence"))
 
-    return F.transform(lines, pair)
+    return F.transform(F.filter(lines, lambda x: F.size(x["start"]) >= words), pair)
 
 
 def served_cleaner(call: Callable[[], Callable[[str], str]], limit: int = 10_000) -> Cleaner:

@@ -9,7 +9,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sha256
@@ -63,12 +63,22 @@ def fetch(urls: DataFrame, config: EngineConfig = EngineConfig(), agents: list[s
     return asked.mapInArrow(run, "url string, url_hash string, user_agent string, html string, error string")
 
 
+def bearer(token: str) -> dict[str, str]:
+    """The headers of a service that asks for a token."""
+    return {"Authorization": f"Bearer {token}", "Content-Type": "application/json"}
+
+
 def details(listing: DataFrame, url_of: str, n: int | None = None, config: EngineConfig = EngineConfig(), session: Callable[[], Session] | None = None) -> DataFrame:
     """id and detail (JSON text) for each id of a listing, fetched from url_of.format(id=...).
 
     Null and empty ids are skipped and failed details are dropped; n takes only the first n by `place`.
     """
     rows = listing.orderBy("place").limit(n) if n is not None else listing
+    return answers(rows, url_of, config, session).where("error IS NULL").drop("status", "error")
+
+
+def answers(listing: DataFrame, url_of: str, config: EngineConfig = EngineConfig(), session: Callable[[], Session] | None = None, headers: dict[str, str] | None = None) -> DataFrame:
+    """id, detail (JSON text), status (of an HTTP error) and error for each id of a listing; null and empty ids are skipped."""
     opened = session or (lambda: Session(config))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +87,46 @@ def details(listing: DataFrame, url_of: str, n: int | None = None, config: Engin
             out = []
             for key in batch.column("id").to_pylist():
                 try:
-                    out.append((key, json.dumps(json.loads(own.get(url_of.format(id=key))), ensure_ascii=False)))
-                except (ValueError, OSError):
-                    continue
+                    out.append((key, json.dumps(json.loads(own.get(url_of.format(id=key), headers)), ensure_ascii=False), None, None))
+                except (ValueError, OSError) as error:
+                    out.append((key, None, getattr(error, "code", None), str(error)))
                 finally:
                     own.sleep(config.delay)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (list(zip(*out)) or [[], []])], ["id", "detail"])
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, kinds)], ["id", "detail", "status", "error"])
+
+    return listing.where("id IS NOT NULL AND id <> ''").select("id").mapInArrow(run, "id string, detail string, status int, error string")
+
+
+class KnowledgeBase:
+    """A knowledge service: its health, its collections, one collection, and the content of its files.
+
+    The collections' list is one answer of the service and small; collections and files are fetched in tasks.
+    """
 
-    return rows.where("id IS NOT NULL AND id <> ''").select("id").mapInArrow(run, "id string, detail string")
+    def __init__(self, url: str, token: str, config: EngineConfig = EngineConfig(), session: Callable[[], Session] | None = None):
+        self.url, self.headers, self.config, self.session = url.rstrip("/"), bearer(token), config, session or (lambda: Session(config))
+
+    def health(self) -> dict:
+        """The service's own answer; an error if it can't be reached."""
+        try:
+            return json.loads(self.session().get(f"{self.url}/health"))
+        except (ValueError, OSError) as error:
+            raise ConnectionError("the knowledge service is unreachable") from error
+
+    def collections(self, spark: SparkSession) -> DataFrame:
+        """id and detail (JSON text) of each collection."""
+        found = json.loads(self.session().get(f"{self.url}/api/v1/knowledge/", self.headers))
+        return spark.createDataFrame([(x.get("id"), json.dumps(x, ensure_ascii=False)) for x in found], "id string, detail string")
+
+    def knowledge(self, ids: DataFrame) -> DataFrame:
+        """id, detail, status and error of each collection."""
+        return answers(ids, f"{self.url}/api/v1/knowledge/{{id}}", self.config, self.session, self.headers)
+
+    def contents(self, ids: DataFrame) -> DataFrame:
+        """id, content, status and error of each file."""
+        found = answers(ids, f"{self.url}/api/v1/files/{{id}}/data/content", self.config, self.session, self.headers)
+        return found.select("id", F.get_json_object("detail", "$.content").alias("content"), "status", "error")
 
 
 def by_key(found: DataFrame) -> DataFrame:

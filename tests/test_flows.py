@@ -62,6 +62,23 @@ def test_served_models(spark):
     assert cleaned[:2] == ["a b", "[1]"] and len(cleaned[2]) == 10_000
 
 
+def test_a_served_model_is_called_once_for_each_page(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def generator():
+        def run(t):
+            calls.add(1)
+            return [{"question": f"What is said about {t[:20]}?", "answer": t, "context": t, "confidence": 0.5}]
+
+        return run
+
+    store = spark.createDataFrame([("x", 1, "What is said about nothing?", "none", "https://e.org/1")], EMPTY)
+    found = flows.generate(pages(spark, 4), store, generator=models.served_generator(generator))
+    assert found.count() == 4 and found.where("type = 'new'").count() == 4 and calls.value == 4
+    with pytest.raises(ValueError, match="is not among"):
+        flows.generate(pages(spark, 1), store, EngineConfig(models=("one",)), models=("one", "two"))
+
+
 def test_enrich(spark):
     df = spark.createDataFrame([("f", "d", "\n".join([LINE] * 3)), ("e", "d", "")], "file_id string, dataset_id string, content string")
     rows = flows.enrich(df, EngineConfig(chunk_size=200, overlap=20), clock=F.lit("t")).collect()
@@ -135,6 +152,40 @@ def test_fetch_and_details(spark):
     assert rest.details(listing, "http://a/{id}", n=1, config=EngineConfig(delay=0), session=fake_session).count() == 1
 
 
+def test_knowledge_base(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def session():
+        class Service:
+            def get(self, url, headers=None):
+                path = url.removeprefix("http://k/")
+                if path == "health":
+                    return '{"status": true}'
+                assert headers["Authorization"] == "Bearer secret"
+                asked.add(1)
+                if path.endswith("/gone"):
+                    raise urllib.error.HTTPError(url, 404, "not found", {}, None)
+                if path == "api/v1/knowledge/":
+                    return '[{"id": "k1", "name": "é"}]'
+                return '{"content": "text of a file"}' if "/files/" in path else '{"id": "k1", "files": [{"id": "f"}]}'
+
+            def sleep(self, seconds):
+                pass
+
+        return Service()
+
+    base = rest.KnowledgeBase("http://k/", "secret", session=session)
+    assert base.health() == {"status": True}
+    listed = base.collections(spark)
+    assert listed.first()["id"] == "k1" and "é" in listed.first()["detail"]
+    ids = listed.select("id").unionByName(spark.createDataFrame([("gone",), ("",), (None,)], "id string"))
+    got = {r["id"]: r for r in base.knowledge(ids).collect()}
+    assert set(got) == {"k1", "gone"} and got["gone"]["status"] == 404 and got["gone"]["detail"] is None and '"files"' in got["k1"]["detail"]
+    assert [r["content"] for r in base.contents(spark.createDataFrame([("f/1",)], "id string")).collect()] == ["text of a file"]
+    with pytest.raises(ConnectionError):
+        rest.KnowledgeBase("http://k", "x", session=lambda: 1 / 0 if False else type("S", (), {"get": lambda self, *a: (_ for _ in ()).throw(OSError("down"))})()).health()
+
+
 def test_streaming_ingest(spark, tmp_path):
     source, store, mark = (str(tmp_path / x) for x in ("in", "store", "mark"))
     pages(spark, 2).coalesce(1).write.mode("append").parquet(source)

@@ -39,6 +39,31 @@ def test_golden_ratios(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
+def test_the_pair_bound_loses_nothing():
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "aaaaaaaa"] + ["".join(rng.choice("abc de") for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    for t in list(texts[:40]):
+        w = list(t)
+        for _ in range(rng.randint(1, 4)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "a", "é"])
+        texts.append("".join(w))
+    left, right = zip(*((a, b) for a in texts for b in texts))
+    ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
+    for threshold in (0.3, 0.7, 0.8, 0.9, 1.0):
+        may = similarity.pair_bound(list(left), list(right), threshold, bins=64)
+        assert all(m for m, r in zip(may, ratios) if r >= threshold)
+        assert threshold < 0.8 or sum(may) < len(may) / 2
+
+
+def test_totals(spark):
+    rows = rows_of(spark, ["a question of mine", "a question of mine?", "other"]).unionByName(rows_of(spark, ["alone"], dataset="e"))
+    found = similarity.totals(rows, similarity.analyze(rows, 0.8))
+    assert {tuple(r) for r in found.collect()} == {("d", 3, 1), ("e", 1, 0)}
+    gone = similarity.totals(rows, similarity.clean_report(rows, 0.8), "removed_records")
+    assert {tuple(r) for r in gone.collect()} == {("d", 3, 1), ("e", 1, 0)}
+
+
 @pytest.mark.parametrize("threshold", [1.0, 0.9, 0.8, 0.5, 0.0])
 def test_pairs_match_the_loop(spark, threshold):
     rng = random.Random(5)
@@ -215,6 +240,11 @@ def test_export(spark, tmp_path):
     shown = export.preview(rows).collect()
     assert len(shown) == 3 and shown[0]["total_items"] == 5 and shown[0]["preview_note"] == "Showing 3 items out of 5 total"
 
+    twice = export.preview(rows.unionByName(rows.withColumn("dataset_id", F.lit("other")))).groupBy("dataset_id").count().collect()
+    assert {r["count"] for r in twice} == {3}
+    again = export.preview(rows.where("seq = 0").unionByName(rows.where("seq = 0")), 5)
+    assert [(r["place"], r["total_items"]) for r in again.orderBy("place").collect()] == [(1, 2), (2, 2)]
+
     def sink():
         def put(row):
             if row["n"] == 1:
@@ -228,6 +258,9 @@ def test_export(spark, tmp_path):
     files = spark.createDataFrame([("/x/my_file.json", [(None, "q", "a", None, None), ("k", "q2", "a2", 0.5, "c")])], "name string, items array<struct<id:string,question:string,answer:string,confidence:double,context:string>>")
     got = export.file_items(files, F.col("name")).collect()
     assert [(r["dataset"], r["id"], r["confidence"], r["context"], r["total_items"]) for r in got] == [("my-file", "item_0", 1.0, "", 2), ("my-file", "k", 0.5, "c", 2)]
+    bad = spark.createDataFrame([("/x/f.json", [("k", None, "a", 0.5, "c")])], files.schema)
+    with pytest.raises(Exception, match="question and answer are required"):
+        export.file_items(bad, F.col("name")).collect()
     for kind in ("jsonl", "csv", "json"):
         export.write(rows.coalesce(1), str(tmp_path / kind), kind)
     assert spark.read.json(str(tmp_path / "jsonl")).count() == 5

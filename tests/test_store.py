@@ -23,6 +23,22 @@ def test_tables(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1
 
 
+def test_versions(spark, tmp_path):
+    path = str(tmp_path / "v")
+    assert store.current_version(spark, path) is None
+    with pytest.raises(ValueError):
+        store.current(spark, path)
+    first = store.commit(spark.createDataFrame([("a", 1), ("b", 2)], "dataset_id string, n int"), path, by="dataset_id")
+    old = store.current(spark, path)
+    second = store.commit(old.where("n = 2").withColumn("n", F.col("n") + 1), path)
+    assert first != second == store.current_version(spark, path)
+    assert [r["n"] for r in store.current(spark, path).collect()] == [3] and old.count() == 2  # a reader of the old one goes on
+    with pytest.raises(Exception):
+        store.commit(old.select(F.raise_error(F.lit("no")).alias("x")), path)
+    assert store.current_version(spark, path) == second
+    assert store.expire(spark, path) == 2 and store.current(spark, path).count() == 1
+
+
 def test_json_file(spark, tmp_path):
     name = store.stamped_name("run", datetime(2024, 5, 6, 7, 8, 9, tzinfo=timezone.utc))
     assert name == "run_20240506T070809Z.json"
