@@ -182,8 +182,17 @@ def test_max_score_is_exact(spark):
     assert top_k.top_k(q.limit(0), q.limit(0)).count() == 0
     few = q.where("vec_id < 4")
     assert top_k.top_k(few, few.where("vec_id = 0")).count() == 3
-    with pytest.raises(Exception, match="too large"):
-        top_k.quantised(spark.createDataFrame([(1, [1e9])], "vec_id long, embedding array<double>")).collect()
+    # Finite vectors of any size take part, exactly.
+    rng = np.random.default_rng(4)
+    big = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(-3, 17)).tolist()) for i in range(1, 60)] + [(100, [1e9, -2.5, 3e20]), (200, [0.5, 0.25, -1.0]), (201, [1e306, 1.0, 1.0]), (202, [float("inf"), 0.0, 0.0])]
+    q = top_k.quantised(spark.createDataFrame(big, "vec_id long, embedding array<double>"))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in big if i < 201}
+    got = {}
+    for r in top_k.top_k(q, q.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for own in (100, 200):
+        scores = sorted(((sum(a * b for a, b in zip(whole[own], v)), -i) for i, v in whole.items() if i != own), reverse=True)[:10]
+        assert got[own] == [(-i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in scores]
 
 
 def test_no_row_of_the_own_id(spark):
