@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index.
 
-The postings (term, document, position) of the training text are stored for the rarest terms of the test windows. Offset
-adjustment turns a posting of a term that stands at place o of an item into the place where the item would begin in the
+The postings of the training text (term, document, positions) are stored by term for the rarest terms of the test windows.
+Offset adjustment turns a posting of a term that stands at place o of an item into the place where the item would begin in the
 document; lists that agree on that place, beginning with the rarest terms, give candidates, and the document's words
 decide about exact phrases. Proximity matches come from the same postings, with places that differ a little.
 
@@ -22,6 +22,7 @@ from .shared import table, written
 
 #: Bytes of test text that are held in memory at a time. A larger benchmark is taken in parts, each against all documents.
 PART_BYTES = 16 << 20
+SALTS = 16
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -93,8 +94,13 @@ def term_counts(keyed: DataFrame, terms: np.ndarray) -> dict[int, int]:
     return {r["term"] & (1 << 64) - 1: r["n"] for r in rows.toLocalIterator()}  # at most one row for each test term
 
 
-def positional_index(keyed: DataFrame, terms: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n_words and the postings (terms, positions) of the given terms, a row for each document."""
+def positional_index(keyed: DataFrame, terms: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The inverted index of the given terms, and the documents.
+
+    Index: term, doc_id, text_hash and positions (ascending), a row for each term and document, dealt by term; the documents
+    of a term are dealt over SALTS parts too, so that no task holds a frequent term alone. Documents: doc_id, text_hash and
+    n_words of each row. Rows that repeat id and text are one document to the index.
+    """
     shared = keyed.sparkSession.sparkContext.broadcast(terms)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,23 +109,37 @@ def positional_index(keyed: DataFrame, terms: np.ndarray) -> DataFrame:
             for at, part in words.groups(batch.column("text")):
                 w = words.Words(part, words.ALNUM)
                 hit = lookup.find(w.hash)
-                cuts = np.searchsorted(hit, w.first).astype(np.int32)
-                position = hit - np.repeat(w.first[:-1], np.diff(cuts))
+                doc = np.searchsorted(w.first, hit, "right") - 1
+                order = np.lexsort((hit, w.hash[hit], doc))
+                hit, doc, term = hit[order], doc[order], w.hash[hit[order]]
+                head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])) if len(hit) else np.zeros(0, np.int64)
+                # Each document's own row (no term), then its postings.
+                own = np.concatenate([np.arange(len(part)), doc[head]])
+                cuts = np.concatenate([np.zeros(len(part), np.int64), head, [len(hit)]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(at, len(part)), batch.column("text_hash").slice(at, len(part)), pa.array(np.diff(w.first).astype(np.int64)), pa.ListArray.from_arrays(cuts, _signed(w.hash[hit])), pa.ListArray.from_arrays(cuts, position.astype(np.int64))],
-                    ["doc_id", "text_hash", "n_words", "terms", "positions"],
+                    [
+                        batch.column("doc_id").slice(at, len(part)).take(pa.array(own)),
+                        batch.column("text_hash").slice(at, len(part)).take(pa.array(own)),
+                        pa.array(np.diff(w.first)[own].astype(np.int64)),
+                        pa.array(np.concatenate([np.zeros(len(part), np.int64), _signed(term[head])]), mask=np.arange(len(own)) < len(part)),
+                        pa.ListArray.from_arrays(cuts, (hit - w.first[doc]).astype(np.int64)),
+                    ],
+                    ["doc_id", "text_hash", "n_words", "term", "positions"],
                 )
 
-    return keyed.mapInArrow(index, "doc_id long, text_hash long, n_words long, terms array<long>, positions array<long>")
+    found = written(keyed.mapInArrow(index, "doc_id long, text_hash long, n_words long, term long, positions array<long>"), "postings-by-document")
+    salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS))
+    postings = found.where("term IS NOT NULL").select("term", "doc_id", "text_hash", "positions").dropDuplicates(["term", "doc_id", "text_hash"])
+    return written(postings.repartition("term", salt).sortWithinPartitions("term", "doc_id", "text_hash"), "inverted-index"), found.where("term IS NULL").select("doc_id", "text_hash", "n_words")
 
 
 def _alignments(index: DataFrame, anchors: list[tuple[int, int, int]]) -> DataFrame:
     """doc_id, text_hash, item, place (in the item) and begin (where the item would begin) of each anchor posting."""
     spark = index.sparkSession
     by_term = spark.createDataFrame([(t - (1 << 64) if t >> 63 else t, item, p) for t, item, p in anchors], "term long, item int, place long")
-    postings = index.select("doc_id", "text_hash", F.explode(F.arrays_zip("terms", "positions")).alias("p")).select("doc_id", "text_hash", F.col("p.terms").alias("term"), F.col("p.positions").alias("position"))
     # The anchors belong to one part of the benchmark, whose size is bounded by PART_BYTES.
-    return postings.join(F.broadcast(by_term), "term").select("doc_id", "text_hash", "item", "place", (F.col("position") - F.col("place")).alias("begin"))
+    lists = index.join(F.broadcast(by_term), "term")
+    return lists.select("doc_id", "text_hash", "item", "place", F.explode("positions").alias("position")).select("doc_id", "text_hash", "item", "place", (F.col("position") - F.col("place")).alias("begin"))
 
 
 def _verified(keyed: DataFrame, candidates: DataFrame, items: _Items) -> DataFrame:
@@ -178,8 +198,7 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> t
         if not len(items.terms):
             continue
         anchors = items.choose(term_counts(keyed, items.terms))
-        index = written(positional_index(keyed, np.unique(np.array([a[0] for a in anchors], np.uint64))), "postings")
-        documents = index.select("doc_id", "text_hash", "n_words")
+        index, documents = positional_index(keyed, np.unique(np.array([a[0] for a in anchors], np.uint64)))
         aligned = _alignments(index, anchors).groupBy("doc_id", "text_hash", "item", "begin").agg(F.count_distinct("place").alias("n"))
         lengths = spark.createDataFrame([(i, len(w)) for i, w in enumerate(items.words)], "item int, n_item long")
         # The two rarest words of a window that occurs agree on where the item begins.
@@ -188,9 +207,9 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> t
         found = _verified(keyed, candidates, items).join(F.broadcast(names), "item").select("doc_id", "text_hash", "item_id", "begin", "end")
         matches = found if matches is None else matches.unionByName(found)
     if matches is None:
-        documents = positional_index(keyed, np.zeros(0, np.uint64)).select("doc_id", "text_hash", "n_words")
+        _, documents = positional_index(keyed, np.zeros(0, np.uint64))
         matches = spark.createDataFrame([], f"doc_id long, text_hash long, item_id {dict(benchmark.dtypes)['item_id']}, begin long, end long")
-    return documents, matches
+    return documents, matches.dropDuplicates(["doc_id", "text_hash", "item_id", "begin", "end"])
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 3, share: float = 0.5) -> DataFrame:
@@ -205,7 +224,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
         if not len(items.terms):
             continue
         anchors = items.choose(term_counts(keyed, items.terms))
-        index = written(positional_index(keyed, np.unique(np.array([a[0] for a in anchors], np.uint64))), "postings")
+        index, _ = positional_index(keyed, np.unique(np.array([a[0] for a in anchors], np.uint64)))
         near = Window.partitionBy("doc_id", "text_hash", "item").orderBy("begin").rangeBetween(0, slop)
         counts = _alignments(index, anchors).withColumn("n_anchors", F.size(F.collect_set("place").over(near)).cast("long"))
         of_item = {}
@@ -241,6 +260,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, per_h
     )
 
 
+def proximity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents near whose words items stand, by the same index: doc_id, item_id, begin and n_anchors."""
+    return proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 

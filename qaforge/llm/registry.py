@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_model": language_model.query,
     "op7_chat_format": chat.query,
     "op8_decontamination": decontamination.query,
+    "decontamination_proximity": decontamination.proximity_query,
     "op9_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
 }

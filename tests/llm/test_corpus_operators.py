@@ -164,6 +164,50 @@ def test_proximity(spark):
     assert got == {1, 4}
 
 
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(12)
+    items = [(k, " ".join(rng.choice(WORDS[:60]) for _ in range(n))) for k, n in enumerate([3, 8, 13, 20, 30])] + [(3, "same id"), (9, None), (10, "")]
+    docs = []
+    for i in range(60):
+        w = [rng.choice(WORDS[:80]) for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 2)):
+            own = (items[rng.randrange(5)][1] or "").split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(own) + 1)
+                own[at : at + rng.randint(0, 1)] = [rng.choice(WORDS)] * rng.randint(0, 1)
+            at = rng.randint(0, len(w))
+            w[at:at] = own
+        docs.append((i, " ".join(w)))
+    docs += [(7, docs[7][1]), (100, None), (None, items[3][1].upper()), (101, (items[4][1] + " ") * 300)]
+    window, slop, share = 6, 2, 0.6
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+    counts = Counter(w for _, t in docs for w in split(t))
+    want = set()
+    for item, text in items:
+        w = split(text)
+        size = min(window, len(w))
+        anchors = {q for p in range(len(w) - size + 1) for q in sorted(range(p, p + size), key=lambda q: (counts[w[q]], q))[:2]} if w else set()
+        needed = max(min(2, len(anchors)), math.ceil(share * len(anchors)))
+        for i, t in docs:
+            found = {(k - p, p) for p in anchors for k, x in enumerate(split(t)) if x == w[p]}
+            best = max(((len({p for b, p in found if begin <= b <= begin + slop}), -begin) for begin, _ in found), default=(0, 0))
+            if anchors and best[0] >= needed:
+                want.add((i, item, -best[1], best[0]))
+    got = decontamination.proximity_matches(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"), window, slop, share)
+    rows = [(r["doc_id"], r["item_id"], r["begin"], r["n_anchors"]) for r in got.collect()]
+    # Items that share an id give one match at most for each document.
+    assert {r[:2] for r in rows} == {r[:2] for r in want} and set(rows) <= want and len(rows) == len({r[:2] for r in rows})
+
+
+def test_matches_of_repeated_rows(spark):
+    item = " ".join(WORDS[:20])
+    docs = spark.createDataFrame([(1, "x " + item), (1, "x " + item), (2, item + " " + "y " * 50_000)], DOCS)
+    bench = spark.createDataFrame([(5, item), (5, item), (6, WORDS[3])], "item_id long, text string")
+    documents, matches = decontamination.phrase_matches(docs, bench)
+    assert documents.count() == 3
+    assert sorted((r["doc_id"], r["item_id"], r["begin"], r["end"]) for r in matches.collect()) == [(1, 5, 1, 21), (1, 6, 4, 5), (2, 5, 0, 20), (2, 6, 3, 4)]
+
+
 def test_max_score_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(0, 1, (300, 12)))]
