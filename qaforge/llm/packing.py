@@ -108,6 +108,16 @@ def pack(items: DataFrame, capacity: int, per_partition: int = 20_000, rounds: i
     return out
 
 
+def certificate(packed: DataFrame, capacity: int = 1024) -> tuple[int, int]:
+    """Sequences of a packing, and the lower bound over all its pieces: equal numbers certify the whole packing."""
+    n = packed.where("offset = 0").count()
+    rows = packed.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
+    histogram = np.zeros(capacity + 1, np.int64)
+    for r in rows:
+        histogram[r["length"]] = r["n"]
+    return n, lower_bound(histogram) if rows else 0
+
+
 def document_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of each piece of each document: its ids, then the end id.
 
@@ -135,7 +145,13 @@ def document_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Each piece of each document with sequence_id and offset (gapless from 0 within its sequence)."""
+    """Each piece of each document with sequence_id and offset (gapless from 0 within its sequence).
+
+    A null or empty text is one piece, the end id alone. Rows that repeat an id or a whole document are pieces of their own, and
+    ids may be null. Pieces of one length are tied: which of them shares a sequence with which is free, and any other choice
+    would give as many sequences. Only doc_id and text are read, so other columns of docs, whatever their names, take no part.
+    An empty table gives an empty one.
+    """
     cut = document_pieces(docs, vocab_path, capacity, end_id)
     items = written(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     return pack(items, capacity).drop("uid")

@@ -136,7 +136,8 @@ def write_store(docs: DataFrame, uri: str, vocab_path: str, end_id: int = 0, key
 
     A null text is empty, so its document has the end id alone. Documents with a null id come first, under the key of
     id 0 and an occurrence counted from 2**62. Rows that repeat an id stay, in text order, under occurrences 0, 1, ...
-    An empty table gives a store without files. Only one range of ids at a time passes through a task, as a stream.
+    Equal rows are tied and get their occurrences in either order. Only doc_id and text are read, so other columns of docs,
+    whatever their names, take no part. An empty table gives a store without files. Only one range of ids at a time passes through a task, as a stream.
 
     Returns the store's description: its uri, id width, the table of shards (number, file, first id's place in the whole
     sequence) and the table of index files (bucket, file).

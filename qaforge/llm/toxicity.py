@@ -19,7 +19,7 @@ from . import words
 from .shared import bounded_batches, crc_rest, doc_text, table
 from .words import mix
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 19
 SIZES = (3, 4, 5)
 PASSAGE = 48  # words; passages of a text overlap by half
 GROUP = 1 << 17  # bytes of text scored at once, a longer text by itself
@@ -133,7 +133,8 @@ def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12,
 
     Each n-gram's vector is scaled by how unlike the shares of the two classes' texts are that hold it, so that n-grams of a
     few texts move little. Steps are normalised by the length of their gradient; the mean of the later epochs is kept. Of a
-    text's passages, the one that scores highest stands for it. Without texts of both classes every score is 0.5.
+    text's passages, the one that scores highest stands for it. The bias never exceeds the log ratio of the classes, so a
+    passage of n-grams that training has not seen is not toxic for that. Without texts of both classes every score is 0.5.
     """
     bags = [(y, bag, bag.passages()) for y, t in zip(labels, texts) if len((bag := Bag([t])).form)]
     share, n = np.zeros((2, BUCKETS)), np.bincount([y for y, _, _ in bags], minlength=2)
@@ -145,7 +146,7 @@ def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12,
     share = (share + extra) / (n[:, None] + 2 * extra)
     scale = np.abs(np.log(share[1] / share[0])) ** power
     rng = np.random.default_rng(seed)
-    vectors, softmax, bias = rng.normal(0, 1e-4, (BUCKETS, dims)), np.stack([-np.ones(dims), np.ones(dims)], 1) / (2 * dims**0.5), 0.0
+    vectors, softmax, bias = rng.normal(0, 1e-4, (BUCKETS, dims)), np.stack([-np.ones(dims), np.ones(dims)], 1) / (2 * dims**0.5), (prior := float(np.log(n[1] / n[0])))
     kept, kept_bias, n_kept = np.zeros(BUCKETS), 0.0, 0
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
@@ -164,7 +165,7 @@ def train(texts: list[str], labels: list[int], dims: int = 4, epochs: int = 12,
             vectors[bucket] -= step * weight[:, None] * turn[None, :]
             softmax[:, 1] -= step * mean
             softmax[:, 0] += step * mean
-            bias -= rate * 0.05 * error
+            bias = min(prior, bias - rate * 0.05 * error)
         if epoch >= epochs // 2:
             kept += (vectors @ (softmax[:, 1] - softmax[:, 0])) * scale
             kept_bias, n_kept = kept_bias + bias, n_kept + 1
