@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The document of the smallest id of each group of near duplicates; documents without words are no group and stay.
 
     The join's own query fixes four words and 0.85; here, as for near duplicates in general, it is five words and 0.8.
-    Of rows that repeat an id, all stay if that id does.
+    Of rows that repeat an id, all stay if that id does. Rows with a null id and null or empty texts stay.
     """
     found = ngram_join.near_duplicates(docs, ngram_join.Scheme(5, 4, 5))
     # An id that is not its component's smallest goes.
@@ -44,7 +44,11 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark."""
+    """Documents that are not contaminated by benchmark.
+
+    Null and empty texts have no words and stay. Rows that repeat id and text go or stay together; of rows that repeat an id
+    alone, those with a contaminated text go. An empty benchmark contaminates nothing.
+    """
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -52,7 +56,10 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of 1024 tokens."""
+    """The pieces of all documents, packed into sequences of 1024 tokens.
+
+    A null or empty text is one piece, the end id alone; repeated rows are packed once each.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -21,6 +21,7 @@ def page_text(html: Column) -> Column:
 
     This is a native expression for regular pages; `page_text_exact` parses any page.
     """
+    # These patterns decide what counts as text.
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", "")
     bare = F.regexp_replace(bare, r"(?s)<!--.*?-->", "")
     body = F.regexp_replace(bare, r"(?is)^.*?<body[^>]*>", "")
