@@ -192,8 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> Model:
         got = [r for batch in batches for r in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())]
         got.sort()  # the same model whatever the order of rows
         model = train([t for t, _ in got], [int(y) for _, y in got])
-        learnt = sum(int(y) for _, y in got)
-        yield pa.RecordBatch.from_arrays([pa.array([model.s.astype("<f8").tobytes()]), pa.array([model.bias]), pa.array([learnt]), pa.array([len(got) - learnt])], ["s", "bias", "toxic", "clean"])
+        learnt, of = sum(int(y) for _, y in got), len(got)
+        del got
+        words.trim()
+        yield pa.RecordBatch.from_arrays([pa.array([model.s.astype("<f8").tobytes()]), pa.array([model.bias]), pa.array([learnt]), pa.array([of - learnt])], ["s", "bias", "toxic", "clean"])
 
     # The bounded sample is learnt in one task; the driver gets BUCKETS numbers.
     found = rows.repartition(1).mapInArrow(learn, "s binary, bias double, toxic long, clean long").first()

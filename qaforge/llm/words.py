@@ -5,6 +5,8 @@ Texts are handled as UTF-8 bytes. All separators are ASCII, so a cut at a separa
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -68,8 +70,18 @@ class Words:
         return len(self.starts)
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system: workers live on from task to task, with whatever their largest one took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def groups(texts: pa.Array, size: int = 1 << 20):
-    """Slices of texts of about so many bytes (a longer text has one of its own), as (first row, slice)."""
+    """Slices of texts of about so many bytes (a longer text has one of its own), as (first row, slice); memory is trimmed after
+    the last."""
     if not len(texts):
         return
     lengths = texts.cast(pa.large_binary())
@@ -79,6 +91,7 @@ def groups(texts: pa.Array, size: int = 1 << 20):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield at, texts.slice(at, to - at)
         at = to
+    trim()
 
 
 def hash_word(word: str) -> int:
