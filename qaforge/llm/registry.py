@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language_model, ngram_join, packing, substring_dedup, token_counts, token_store, top_k, toxicity
+from . import chat, decontamination, language_model, ngram_join, packing, simhash, substring_dedup, token_counts, token_store, top_k, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "decontamination_proximity": decontamination.proximity_query,
     "op9_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
+    "op11_simhash_near_dedup": simhash.query,
 }
 
 ORACLES: dict[str, str] = {
