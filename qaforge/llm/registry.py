@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, language_model, ngram_join, packing, simhash, substring_dedup, token_counts, token_store, top_k, toxicity
+from . import chat, clustering, decontamination, filter_audit, language_model, ngram_join, packing, simhash, substring_dedup, token_counts, token_store, top_k, toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_token_counts": token_counts.query,
     "op11_simhash_near_dedup": simhash.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_centroid_clustering": clustering.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +27,6 @@ ORACLES: dict[str, str] = {
     "op5_top_k_search": top_k.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_centroid_clustering": clustering.ORACLE,
 }
