@@ -21,6 +21,9 @@ from .shared import table, written
 
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 2048, 1024
+#: A bound on the square of a narrow vector's norm. Two of them have a product of at most NORM, and a shard's bounds, which join
+#: the extremes of vectors of all lengths n, at most NORM times the root of 1 + ln n: well within 64 bits.
+NORM = 1 << 58
 _STEP = 8  # components that are probed between two looks at the bounds
 
 
@@ -73,13 +76,14 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """vec_id and q, the components floor(scale * x), of the vectors that take part.
 
     Rows with a null id, a null vector, or a null, NaN or infinite component (scaled or not) take no part. Where an integer
-    lies beyond 2**26, so that a score may leave 64 bits, q is null and `wide` has the integers as doubles, which hold them
-    exactly.
+    lies beyond 2**26, or the vector's length times its largest integer squared beyond NORM, so that a score or a bound on
+    one may leave 64 bits, q is null and `wide` has the integers as doubles, which hold them exactly.
     """
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * float(scale)) < F.lit(float("inf"))))
     scaled = F.transform(v, lambda x: x * float(scale))
-    narrow = F.forall(scaled, lambda x: F.abs(x) <= float(1 << 26))
+    largest = F.coalesce(F.array_max(F.transform(scaled, lambda x: F.abs(F.floor(x).cast("double")))), F.lit(0.0))
+    narrow = F.when(F.coalesce(F.array_max(F.transform(scaled, F.abs)), F.lit(0.0)) > float(1 << 52), False).otherwise((largest <= float(1 << 26)) & (F.size(v) * largest * largest <= float(NORM)))
     # A double of 2**52 or more is an integer already, and floor() would put it into 64 bits.
     whole = F.transform(scaled, lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
     q, wide = F.when(narrow, F.transform(scaled, lambda x: F.floor(x))), F.when(~narrow, whole)
@@ -145,7 +149,7 @@ def _wide_scores(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best rows of vectors other than its own id.
 
-    Both sides are (vec_id, q, wide) as of `quantised`. Pairs with a wide vector are scored apart, by integers of any size and
+    Both sides are (vec_id, q, wide) as of `quantised`. Vectors may have any length. Pairs with a wide vector are scored apart, by integers of any size and
     without bounds; a score beyond 64 bits is returned as the nearest one of 64, in the place that it really has. Vectors of
     different lengths meet as if the shorter one went on with zeros. Ties go to the smaller vec_id; fewer than k rows are all returned. A repeated vec_id takes part once for each
     row, and queries of one id share one list, in which a row stands once for each of them. Empty tables give no rows.
