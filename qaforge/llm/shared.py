@@ -73,6 +73,17 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with as many underscores before each that no column of df has it, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_rest(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import release, table, written
+from .shared import free_names, release, table, written
 from .words import mix
 
 WINDOW = 16  # words of a passage's unit
@@ -152,13 +152,15 @@ def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, w
     """docs without the units of `repeats`, with removed_col: start and end (code points of the original text) of each part
     that went, in order.
 
-    All rows and all other columns stay; a column of that name is replaced. A document of which nothing is left has an empty
+    All rows and all other columns stay, whatever their names; a column of the name removed_col is replaced. A document of which nothing is left has an empty
     text; a null text stays null. removed_col is an empty list where nothing went. `n_chars`, where there is one, follows
     the text. An empty table gives an empty one.
     """
     spans = repeats(docs, min_words, min_chars, window)
+    kept = docs.drop(removed_col)
+    doc, text_hash, places, rest_of = free_names(docs, "_doc", "_hash", "_places", "_rest")
     # A set, as rows that repeat id and text have the same places; it is bounded by the text itself.
-    per_doc = spans.groupBy(F.col("doc").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_set("place").alias("_places"))
+    per_doc = spans.groupBy(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash)).agg(F.collect_set("place").alias(places))
 
     @F.arrow_udf("struct<text:string,removed:array<struct<start:long,end:long>>>")
     def rest(texts: pa.Array, places: pa.Array) -> pa.Array:
@@ -171,11 +173,10 @@ def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, w
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(gone, kind)], ["text", "removed"])
 
-    kept = docs.drop(removed_col)
-    out = kept.join(per_doc, (_doc_key() == F.col("_doc")) & (_text_hash() == F.col("_hash")), "left").drop("_doc", "_hash")
+    out = kept.join(per_doc, (_doc_key() == F.col(doc)) & (_text_hash() == F.col(text_hash)), "left").drop(doc, text_hash)
     none = F.struct(F.col("text"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed"))
-    out = out.withColumn("_rest", F.when(F.col("_places").isNull(), none).otherwise(rest("text", "_places")))
-    out = out.withColumns({"text": F.col("_rest.text"), removed_col: F.col("_rest.removed")}).drop("_rest", "_places")
+    out = out.withColumn(rest_of, F.when(F.col(places).isNull(), none).otherwise(rest("text", places)))
+    out = out.withColumns({"text": F.col(f"{rest_of}.text"), removed_col: F.col(f"{rest_of}.removed")}).drop(rest_of, places)
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
