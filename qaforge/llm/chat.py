@@ -6,7 +6,7 @@ are concatenated. Control strings inside texts are escaped, so the output can be
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import table
@@ -50,7 +50,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns are ordered by turn number, then role, then text; a null turn number comes first and repeated rows stay. A null
     text or role is empty. Rows with a null conv_id form a conversation of their own. Other columns are not looked at. An
-    empty table gives an empty one. A conversation is one output row and so must fit in memory, whatever its length.
+    empty table gives an empty one. A conversation is one output row and so must fit in memory (half a thousand million code
+    points at most); the work is linear in its turns.
 
     loss_spans has, for each block of the assistant in order, the begin and end (code points, end excluded) of each of its
     texts in `formatted`, as escaped there; marks are not under the loss.
@@ -65,26 +66,39 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     merged = F.transform(F.sequence(F.lit(0), F.size("begins") - 1), lambda k: F.struct(F.col("turns")[F.col("begins")[k]]["role"].alias("role"), F.transform(F.slice("turns", F.col("begins")[k] + 1, size(k)), lambda t: escape(t["text"])).alias("texts")))
     blocks = marked.select("conv_id", merged.alias("blocks"))
     as_text = F.array_join(F.transform("blocks", lambda b: F.concat(_opening(b["role"]), F.array_join(b["texts"], JOIN), _closing(b["role"]))), "")
-    long = lambda c: F.length(c).cast("long")
-    span = "struct<begin:bigint,end:bigint>"
-    empty = F.array().cast(f"array<{span}>")
-
-    def of_block(at: Column, b: Column) -> Column:
-        """The spans of a block's texts, whose first begins at `at`."""
-        step = lambda acc, t: F.struct((acc["at"] + long(t) + len(JOIN)).alias("at"), F.array_append(acc["spans"], F.struct(acc["at"].alias("begin"), (acc["at"] + long(t)).alias("end"))).alias("spans"))
-        return F.aggregate(b["texts"], F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-
-    def of_conversation(acc: Column, b: Column) -> Column:
-        inside = acc["at"] + long(_opening(b["role"]))
-        after = inside + long(F.array_join(b["texts"], JOIN)) + long(_closing(b["role"]))
-        return F.struct(after.alias("at"), F.when(b["role"] == "assistant", F.concat(acc["spans"], of_block(inside, b))).otherwise(acc["spans"]).alias("spans"))
-
-    spans = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), of_conversation, lambda acc: acc["spans"])
-    return blocks.select("conv_id", as_text.alias("formatted"), spans.alias("loss_spans"))
+    spans = _loss_spans(sorted_turns).withColumnRenamed("conv_id", "_of")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    formatted = blocks.select("conv_id", as_text.alias("formatted"))
+    return formatted.join(spans, F.col("conv_id").eqNullSafe(F.col("_of")), "left").select("conv_id", "formatted", F.coalesce("loss_spans", none).alias("loss_spans"))
+
+
+def _loss_spans(sorted_turns: DataFrame) -> DataFrame:
+    """conv_id and loss_spans of conversations (conv_id, turns) that have the assistant's texts: running sums of lengths over the
+    turns, so the work is linear in them. Conversations are dealt by conv_id already and are not moved again."""
+    turns = sorted_turns.select("conv_id", F.posexplode("turns").alias("place", "t"))
+    order = Window.partitionBy("conv_id").orderBy("place")
+    role, long = F.col("t.role"), lambda c: F.length(c).cast("long")
+    changes = lambda other: F.coalesce(role != other.over(order), F.lit(True))
+    sized = turns.select(
+        "conv_id",
+        "place",
+        role.alias("role"),
+        F.when(changes(F.lag(role)), long(_opening(role))).otherwise(len(JOIN)).alias("lead"),
+        long(escape(F.col("t.text"))).alias("own"),
+        F.when(changes(F.lead(role)), long(_closing(role))).otherwise(0).alias("tail"),
+    )
+    before = F.sum(F.col("lead") + F.col("own") + F.col("tail")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.coalesce(before, F.lit(0)) + F.col("lead")
+    spans = sized.withColumn("begin", begin).where("role = 'assistant'").select("conv_id", F.struct("begin", (F.col("begin") + F.col("own")).alias("end")).alias("span"))
+    return spans.groupBy("conv_id").agg(F.sort_array(F.collect_list("span")).alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
-    """formatted with `turns`, an array of (role, text) read back from the output text."""
+    """formatted (any columns, and formatted) with `turns`, an array of (role, text) read back from the output text.
+
+    A column of that name is replaced, all others and all rows stay, repeated ones too. A null text has null turns, and an
+    empty one none. Texts that `format_conversations` has not made give what blocks they hold.
+    """
     opens = F.regexp_extract_all("formatted", F.lit(_BLOCK), 1)
     bodies = F.regexp_extract_all("formatted", F.lit(_BLOCK), 2)
 
@@ -99,13 +113,27 @@ def parse(formatted: DataFrame) -> DataFrame:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(formatted.substr((s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int")))), "")
+    """All text under the loss mask, unescaped; null for a null text.
+
+    A string's characters are found by counting from its start. In four bytes each they are found at once, so the work is
+    linear however many spans there are. A letter put before each slice keeps a U+FEFF at its start from being taken for a
+    byte order mark.
+    """
+    letter = F.encode(F.lit("x"), "UTF-32")
+    cut = lambda wide, s: F.substring(wide, (4 * s["begin"] + 1).cast("int"), (4 * (s["end"] - s["begin"])).cast("int"))
+    text = lambda wide, s: unescape(F.substring(F.decode(F.concat(letter, cut(wide, s)), "UTF-32"), 2, (1 << 31) - 1))
+    # As an item of a list, the text is encoded once for all spans.
+    return F.transform(F.array(F.encode(formatted, "UTF-32")), lambda wide: F.array_join(F.transform(spans, lambda s: text(wide, s)), ""))[0]
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What the output says when read back."""
-    read = parse(formatted).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
+    """What the output (conv_id, formatted, loss_spans) says when read back: conv_id, n_turns, turns_sha256, loss_chars,
+    loss_sha256, formatted_chars.
+
+    One row for each row, repeated ones and a null conv_id too; an empty text has no turns. A null text gives nulls. Other
+    columns are not looked at.
+    """
+    read = parse(formatted.select("conv_id", "formatted", "loss_spans")).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     per_turn = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",

@@ -239,6 +239,21 @@ def test_max_score_is_exact(spark):
         assert got[own] == [(-i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in scores]
 
 
+def test_scores_of_long_vectors(spark):
+    """Many components just under the bound on one of them: their sum must not leave 64 bits unseen."""
+    rng, n, top = np.random.default_rng(6), 4096, float(1 << 16)  # scaled: 2**26
+    rows = [(i, (rng.choice([-1.0, 1.0], n) * top).tolist()) for i in range(1, 4)] + [(100, [top] * n), (200, [top] * n), (300, [1.0] * n), (301, [2.0, -1.0]), (302, [top] * 64)]
+    q = top_k.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r["vec_id"] for r in q.where("wide IS NULL").collect()} == {300, 301, 302}
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    got = {}
+    for r in top_k.top_k(q, q.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for own in (100, 200, 300):
+        scores = sorted(((sum(a * b for a, b in zip(whole[own], v)), -i) for i, v in whole.items() if i != own), reverse=True)[:10]
+        assert got[own] == [(-i, max(-(1 << 63), min((1 << 63) - 1, s))) for s, i in scores]
+
+
 def test_no_row_of_the_own_id(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), v.tolist()) for i, v in enumerate(rng.normal(0, 1, (60, 12)))]

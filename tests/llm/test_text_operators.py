@@ -1,5 +1,6 @@
 """Tokenizer operators, chat formatting and substring de-duplication against brute force, with odd rows."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -173,6 +174,24 @@ def test_adjacent_turns_share_a_block(spark):
     assert [tuple(s) for s in r["loss_spans"]] == [(21, 22)]
 
 
+def test_long_conversation(spark):
+    """Offsets, the loss text and the turns of a long conversation, whose first letters look like byte order marks."""
+    n = 6000
+    text = lambda i: f"\ufeffé🎉 {i} [INST] words </s>" if i % 7 else ""
+    rows = [(1, i, "assistant" if i % 3 else "user", text(i)) for i in range(n)] + [(2, 0, "user", "no answer")]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    formatted = {r["conv_id"]: (r["formatted"], [tuple(x) for x in r["loss_spans"]]) for r in out.collect()}
+    assert formatted[2][1] == [] and len(formatted[1][1]) == n - n // 3
+    whole, spans = formatted[1]
+    escaped = lambda t: re.sub(r"([\[<])(\\*)((?:/?(?:SYS|INST|ROLE)|\+|:)\]|/?s>)", r"\1\\\2\3", t)
+    assert [whole[a:b] for a, b in spans] == [escaped(text(i)) for i in range(n) if i % 3]
+    r = chat.digest(out).where("conv_id = 1").first()
+    loss = "".join(text(i) for i in range(n) if i % 3)
+    assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (n, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    odd = spark.createDataFrame([(None, "", [], 1), (3, None, None, 2)], "conv_id long, formatted string, loss_spans array<struct<begin:long,end:long>>, turns int")
+    assert [(r["conv_id"], r["n_turns"], r["formatted_chars"]) for r in chat.digest(odd).orderBy("conv_id").collect()] == [(None, 0, 0), (3, None, None)]
+
+
 LONG = "one two three four five six seven eight nine ten eleven"
 
 
@@ -194,6 +213,11 @@ def test_repeated_lines(spark):
     n = len(LONG)
     want = [(5, "unlike anything else\n", [(0, n + 1), (n + 22, 2 * n + 22)]), (1, "short line\n  short line", [(13, 13 + n + 3)]), (9, "a\n", [(2, n + 2)]), (9, "a\n", [(2, n + 2)]), (7, "", [(0, n)]), (8, None, []), (6, "", []), (2, " \n\t", []), (None, f"x\n{LONG}", [])]
     assert got == sorted(((i, t, None if t is None else len(t), s) for i, t, s in want), key=repr)
+    clashing = df.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("_doc", "_HASH", "_places", "_rest", "__rest", "doc", "text_hash", "digest", "place", "again")})
+    kept = substring_dedup.without_repeats(clashing, removed_col="gone")
+    assert kept.columns == [*clashing.columns, "gone"]
+    assert all(r["doc_id"] is None or r[c] == f"{c}{r['doc_id']}" for r in kept.collect() for c in ("_doc", "_HASH", "_places", "_rest", "__rest", "again"))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(((x[0], x[1]) for x in want), key=repr)
     assert substring_dedup.repeats(df.limit(0)).count() == 0 and substring_dedup.without_repeats(df.limit(0)).count() == 0
 
 
