@@ -270,13 +270,14 @@ def test_language_model(spark, monkeypatch):
     tongues = [[f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]]
     docs = [(i, " ".join(rng.choice(tongues[i % 2]) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(300, None), (301, ""), (302, "Never SEEN " * 3), (303, "a1 " * 4000), (7, "a1 b2"), (None, "a1")]
     monkeypatch.setattr(language_model, "HEAD", 20)  # most words are joined
-    df = spark.createDataFrame(docs, DOCS).withColumns({"score": F.lit("own"), "hash": F.lit("own"), "text": F.coalesce("text", F.lit(""))})
+    df = spark.createDataFrame(docs, DOCS).withColumns({"score": F.lit("own"), "hash": F.lit("own"), "_lm": F.lit("own"), "_ROW": F.lit("own"), "a.b": F.lit("own"), "text": F.coalesce("text", F.lit(""))})
     train = [(i, t) for i, t in docs if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
     model = language_model.fit(df.where(F.coalesce(shared.crc_rest(F.col("doc_id"), 7) != 2, F.lit(False))).select("text"))
     c = Counter(w for _, t in train for w in [*spaced(t), 0])
     n, v = sum(c.values()), len(c)
     assert model.vocabulary.n == n and model.vocabulary.v == v
     rows = language_model.scores(df, model).collect()
+    assert all(r["hash"] == r["_lm"] == r["_ROW"] == r["a.b"] == "own" for r in rows) and "text" not in rows[0]
     want = sorted((repr(i), len(spaced(t)) + 1, sum(c[w] > 0 for w in [*spaced(t), 0])) for i, t in docs)
     assert sorted((repr(r["doc_id"]), r["n_tokens"], r["n_known"]) for r in rows) == want
     text = dict(docs)
@@ -310,6 +311,22 @@ def test_language_model_learns_pairs(spark, monkeypatch):
     assert all(got[i, f"u{i} v{i}"] > got[i, f"u{i} v{(i + 1) % 300}"] + 0.5 for i in range(0, 300, 7))
 
 
+def test_language_model_on_documents(spark):
+    """On documents that training has not seen, the model beats the base and itself without pairs, and for nearly every text."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held_out = shared.crc_rest(F.col("doc_id"), 7) == 2
+    model = language_model.fit(docs.where(~held_out).select("text"))
+    asked = docs.where(held_out)
+    rows = language_model.scores(asked, model).collect()
+    model.top = language_model.Pairs(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    model.rest = np.ones_like(model.rest)
+    alone = sum(r["score"] for r in language_model.scores(asked, model).collect())
+    n, score, base = (sum(r[c] for r in rows) for c in ("n_tokens", "score", "base_score"))
+    assert score > alone > base
+    assert 10 ** (-score / n) < 0.8 * 10 ** (-base / n)
+    assert sum(r["score"] < r["base_score"] for r in rows) < 0.1 * len(rows)
+
+
 @pytest.mark.parametrize(("head", "least", "pairs"), [(1 << 20, 64, 20), (40, 3, 1 << 20), (1 << 20, 1, 50)])
 def test_language_model_scores_by_hand(spark, monkeypatch, head, least, pairs):
     """Each score from the model's weights, classes and plain counts, in plain Python; and P sums to one over all words."""
@@ -335,9 +352,13 @@ def test_language_model_scores_by_hand(spark, monkeypatch, head, least, pairs):
     ordered = sorted(follows.values(), reverse=True)
     floor = next((k for k in sorted(set(ordered)) if sum(x >= k for x in ordered) <= pairs), 1 << 60)
     assert model.pairs.count() == len(follows) and len(model.top.sorted) == sum(x >= floor for x in ordered)
-    follows, followed = Counter({k: x for k, x in follows.items() if x >= floor}), Counter()
+    once, twice = (sum(x == k for x in ordered) for k in (1, 2))
+    d = once / (once + 2 * twice) if once else 0.5
+    follows, followed, n_followers = Counter({k: x for k, x in follows.items() if x >= floor}), Counter(), Counter()
     for (a, _), k in follows.items():
         followed[a] += k
+        n_followers[a] += 1
+    assert model.discount == pytest.approx(d)
     n, v = sum(c.values()), len(c)
     size = len(voc.classes)
     total = Counter()
@@ -354,7 +375,10 @@ def test_language_model_scores_by_hand(spark, monkeypatch, head, least, pairs):
         label = int(voc.classes[rank(w)]) if 0 <= rank(w) < size else last
         p = float(p_class[label]) * (c[w] + 1) / total[label]
         before = tokens[i - 1] if i else "<start>"
-        return (follows[before, w] + 64 * p) / (followed[before] + 64) if before == "<start>" or frequent(before) else p
+        if before != "<start>" and not frequent(before):
+            return p
+        weight = (len(train) if before == "<start>" else c[before]) + n_followers[before]
+        return max(follows[before, w] - d, 0) / weight + (1 - (followed[before] - d * n_followers[before]) / weight) * p
 
     got = {r["doc_id"]: r["score"] for r in language_model.scores(df, model).collect()}
     for i, t in [*docs[::9], *docs[95:105], (900, ""), (901, "w1 new w1 w2")]:
