@@ -2,10 +2,12 @@ import random
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qaforge.operators import catalog, dedup, export, qa, similarity, validate
+from qaforge.operators import catalog, dedup, export, qa, sequences, similarity, validate
+
 
 def clock():
     return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -39,7 +41,35 @@ def test_golden_ratios(spark):
     assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]
 
 
-def test_the_pair_bound_loses_nothing():
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(row[j] + 1 if x == y else max(row[j + 1], now[j]))
+        row = now
+    return row[-1]
+
+
+@pytest.mark.parametrize("together", [1, 128, 10**9])
+def test_common_subsequences(monkeypatch, together):
+    """Steps taken together and one by one give what the plain table gives; a pair is given up only under its least length."""
+    monkeypatch.setattr(sequences, "TOGETHER", together)
+    monkeypatch.setattr(sequences, "TABLE", 300)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdé 😀") for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 130, 200]))) for _ in range(50)]
+    left, right = ([rng.choice([*texts, "\ud800x", "zzzz"]) for _ in range(400)] for _ in range(2))
+    want = np.array([longest_common(a, b) for a, b in zip(left, right)])
+    assert (sequences.common_subsequences(left, right, np.zeros(400)) == want).all()
+    least = np.array([rng.randint(0, 130) for _ in left])
+    got = sequences.common_subsequences(left, right, least)
+    assert ((got == want) | (got == -1) & (want < least)).all() and (got == -1).any()
+    assert len(sequences.common_subsequences([], [], np.zeros(0))) == 0
+    long = "ab c" * 3000
+    assert sequences.common_subsequences([long, long], [long[:-5], "x" * 9000], np.zeros(2)).tolist() == [len(long) - 5, 0]
+
+
+def test_the_common_subsequence_bound_loses_nothing():
     rng = random.Random(3)
     texts = ["", "a", "ab", "aaaaaaaa"] + ["".join(rng.choice("abc de") for _ in range(rng.randint(0, 30))) for _ in range(60)]
     for t in list(texts[:40]):
@@ -50,10 +80,10 @@ def test_the_pair_bound_loses_nothing():
         texts.append("".join(w))
     left, right = zip(*((a, b) for a in texts for b in texts))
     ratios = [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)]
-    for threshold in (0.3, 0.7, 0.8, 0.9, 1.0):
-        may = similarity.pair_bound(list(left), list(right), threshold, bins=64)
+    for threshold in (-1.0, 0.0, 0.3, 0.7, 0.8, 0.9, 1.0):
+        may = similarity.may_reach(list(left), list(right), threshold)
         assert all(m for m, r in zip(may, ratios) if r >= threshold)
-        assert threshold < 0.8 or sum(may) < len(may) / 2
+        assert threshold < 0.8 or sum(may) < 1.2 * sum(r >= threshold for r in ratios)
 
 
 def test_totals(spark):
