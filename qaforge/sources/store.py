@@ -1,4 +1,4 @@
-"""Tables on disk: appends, replacement of whole tables or of datasets, pretty JSON files."""
+"""Tables on disk: staged ones, appends, pretty JSON files. `versions` has tables that several writers change."""
 
 from __future__ import annotations
 
@@ -15,10 +15,11 @@ def _files(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once into the folder that all executors share (spark.checkpoint.dir) and read back, so that what made it,
-    a served model say, runs once. Only a local master may go without the setting and gets a temporary folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share (spark.checkpoint.dir), with a part of its own for this application.
+
+    Only a local master may go without the setting (tests); it then gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -27,9 +28,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
         if not base:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="qaforge-"))
             base = spark.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/qaforge-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/qaforge-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written once into the folder that all executors share and read back, so that what made it, a served model say, runs
+    once."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append(df: DataFrame, path: str, by: str | None = None) -> None:
@@ -38,86 +49,6 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def replace_parts(df: DataFrame, path: str, by: str = "dataset_id") -> None:
-    """Overwrite only the parts that df has rows of; df may be read from the same table, as it is staged first."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(staged)
-    try:
-        spark.read.schema(df.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-    finally:
-        target, files = _files(spark, staged)
-        files.delete(target, True)
-
-
-def replace(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Replace a table by df, which may be read from it. The new table is written beside the old one and takes its place by
-    renaming; if writing fails, the old one stays."""
-    spark = df.sparkSession
-    staged, old = (f"{path.rstrip('/')}-{what}-{uuid.uuid4().hex[:8]}" for what in ("staged", "old"))
-    (df.write.partitionBy(by) if by else df.write).parquet(staged)
-    target, files = _files(spark, path)
-    new, before = _files(spark, staged)[0], _files(spark, old)[0]
-    if files.exists(target):
-        files.rename(target, before)
-    if not files.rename(new, target):
-        if files.exists(before):
-            files.rename(before, target)
-        raise OSError(f"{staged} could not take the place of {path}")
-    files.delete(before, True)
-
-
-def commit(df: DataFrame, path: str, by: str | None = None) -> str:
-    """Make df, which may be read from the table, the table's new version: a reader sees the old or the new one at any time.
-
-    Each version is a folder of its own, and the file `current` names the one that counts. That file is put in place by one
-    renaming over the old one, after the version is written. Returns the version's name. Of two commits at once, the later
-    renaming counts.
-    """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex[:12]}"
-    (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/{version}")
-    fs, jvm = spark._jvm.org.apache.hadoop.fs, spark.sparkContext._gateway
-    pointer, staged_pointer = fs.Path(f"{path}/current"), fs.Path(f"{path}/next-{version}")
-    out = _files(spark, path)[1].create(staged_pointer, True)
-    try:
-        out.write(bytearray(version.encode()))
-    finally:
-        out.close()
-    over = jvm.new_array(fs.Options.Rename, 1)
-    over[0] = fs.Options.Rename.OVERWRITE
-    files = _files(spark, path)[1]
-    fs.FileContext.getFileContext(files.getUri(), files.getConf()).rename(files.makeQualified(staged_pointer), files.makeQualified(pointer), over)
-    return version
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The name of the version that counts, None for a table without one."""
-    target, files = _files(spark, f"{path}/current")
-    if not files.exists(target):
-        return None
-    lines = spark.read.text(str(target)).collect()  # one short line
-    return lines[0]["value"]
-
-
-def current(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a table of `commit`."""
-    version = current_version(spark, path)
-    if version is None:
-        raise ValueError(f"{path} has no version yet")
-    return spark.read.parquet(f"{path}/{version}")
-
-
-def expire(spark: SparkSession, path: str) -> int:
-    """Delete all versions but the one that counts, once nothing reads them any more; their number."""
-    version, gone = current_version(spark, path), 0
-    target, files = _files(spark, path)
-    for entry in files.listStatus(target):
-        if entry.isDirectory() and entry.getPath().getName().startswith("v-") and entry.getPath().getName() != version:
-            gone += bool(files.delete(entry.getPath(), True))
-    return gone
-
-
 def stamped_name(prefix: str, now: datetime | None = None) -> str:
     """A file name with the time in UTC."""
     return f"{prefix}_{(now or datetime.now(timezone.utc)).astimezone(timezone.utc):%Y%m%dT%H%M%SZ}.json"

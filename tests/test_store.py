@@ -1,7 +1,6 @@
 import json
 from datetime import datetime, timezone
 
-import pytest
 from pyspark.sql import functions as F
 
 from qaforge.plans import flows, prompts
@@ -14,29 +13,6 @@ def test_tables(spark, tmp_path):
     store.append(df, path, by="dataset_id")
     store.append(df.where("n = 1"), path, by="dataset_id")
     assert spark.read.parquet(path).count() == 3
-    store.replace_parts(spark.read.parquet(path).where("dataset_id = 'a'").limit(1).select("dataset_id", F.lit(9).alias("n")), path)
-    assert sorted((r["dataset_id"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 2)]
-    store.replace(spark.read.parquet(path).where("n = 2"), path, by="dataset_id")
-    assert [r["n"] for r in spark.read.parquet(path).collect()] == [2]
-    with pytest.raises(Exception):
-        store.replace(spark.read.parquet(path).select(F.raise_error(F.lit("no")).alias("x")), path)
-    assert spark.read.parquet(path).count() == 1
-
-
-def test_versions(spark, tmp_path):
-    path = str(tmp_path / "v")
-    assert store.current_version(spark, path) is None
-    with pytest.raises(ValueError):
-        store.current(spark, path)
-    first = store.commit(spark.createDataFrame([("a", 1), ("b", 2)], "dataset_id string, n int"), path, by="dataset_id")
-    old = store.current(spark, path)
-    second = store.commit(old.where("n = 2").withColumn("n", F.col("n") + 1), path)
-    assert first != second == store.current_version(spark, path)
-    assert [r["n"] for r in store.current(spark, path).collect()] == [3] and old.count() == 2  # a reader of the old one goes on
-    with pytest.raises(Exception):
-        store.commit(old.select(F.raise_error(F.lit("no")).alias("x")), path)
-    assert store.current_version(spark, path) == second
-    assert store.expire(spark, path) == 2 and store.current(spark, path).count() == 1
 
 
 def test_json_file(spark, tmp_path):
