@@ -3,33 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import new_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), with a part of its own for this application.
-
-    Only a local master may go without the setting (tests); it then gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="qaforge-"))
-            base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/qaforge-{spark.sparkContext.applicationId}"
-
-
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound the bytes of one Arrow batch, unless the session has a bound of its own.
 
@@ -40,10 +24,6 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
         spark.conf.set(key, size)
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write df into the shared folder and read it back.
 
