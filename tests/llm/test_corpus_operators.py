@@ -291,7 +291,7 @@ def test_language_model(spark, monkeypatch):
     vocabulary = model.vocabulary
     rows_of = language_model._rows(language_model.Tokens(pa.array(["a1 b2 c"])))
     _, e, total = language_model._softmax(model.weights, model.bias, rows_of)
-    assert (e / total).sum(axis=0) == pytest.approx(1, abs=1e-5)
+    assert (e / total[:, None]).sum(axis=1) == pytest.approx(1, abs=1e-5)
     within = 10.0 ** -vocabulary.within[vocabulary.classes] * (vocabulary.counts[: len(vocabulary.classes)] + 1)
     sums = np.bincount(vocabulary.classes, within, language_model.CLASSES)
     assert all(s == pytest.approx(1) for s in sums[:-1] if s)
