@@ -10,9 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import html, paging, text, urls
+from ..functions import html, paging, text, urls, variants
 from ..operators import catalog, dedup, export, qa, similarity, validate
 from ..schema import EngineConfig
+from ..sources.migrations import QA_STEPS, Migrations
+from ..sources.store import new_path
+from ..sources.versions import VersionedTable
 from . import flows, models
 
 CLOCK = "2024-01-01 00:00:00"
@@ -253,6 +256,73 @@ def qa_json_fields(spark, d):
     return events.select("event_id", F.coalesce(k, F.lit("none")).alias("k"), validate.confidence_or_one(k).alias("confidence"), validate.threshold(F.col("value")).alias("threshold"), paging.percent(validate.threshold(F.col("value"))).alias("percent"))
 
 
+def _loose(spark: SparkSession, d: str) -> DataFrame:
+    """seq and raw: JSON whose fields are there, missing, null, of another type or a list; one text in six is not JSON."""
+    seq, member = F.col("seq"), lambda name, c: F.substring(F.to_json(F.struct(c.alias(name))), 2, F.length(F.to_json(F.struct(c.alias(name)))) - 2)
+    share = F.concat(F.lit("0."), (seq % 10).cast("string"))
+    question, source = member("question", F.col("question")), F.col("dataset_name")
+    shapes = [
+        F.concat(question, F.lit(',"confidence":'), share, F.lit(","), member("tags", F.array(F.lit("a"), source))),
+        member("tags", source),
+        F.lit('"question":null,"confidence":null,"tags":null'),
+        F.concat(F.lit('"question":'), seq.cast("string"), F.lit(',"confidence":"'), share, F.lit('"')),
+        F.concat(F.lit('"question":{"text":1},"confidence":[0.5],"tags":[]')),
+    ]
+    raw = F.lit("{broken")
+    for i, shape in enumerate(shapes):
+        raw = F.when(seq % 6 == i, F.concat(F.lit("{"), shape, F.lit("}"))).otherwise(raw)
+    return qa_docs(spark, d).select("seq", raw.alias("raw"))
+
+
+_LOOSE = f"""raw AS (SELECT seq, CASE seq %% 6
+  WHEN 0 THEN '{{"question":' || CAST(to_json(question) AS VARCHAR) || ',"confidence":0.' || seq %% 10 || ',"tags":["a",' || CAST(to_json(dataset_name) AS VARCHAR) || ']}}'
+  WHEN 1 THEN '{{"tags":' || CAST(to_json(dataset_name) AS VARCHAR) || '}}'
+  WHEN 2 THEN '{{"question":null,"confidence":null,"tags":null}}'
+  WHEN 3 THEN '{{"question":' || seq || ',"confidence":"0.' || seq %% 10 || '"}}'
+  WHEN 4 THEN '{{"question":{{"text":1}},"confidence":[0.5],"tags":[]}}' ELSE '{{broken' END AS raw FROM qa)""".replace("%%", "%")
+
+
+def json_defaults(spark, d):
+    v = variants.parsed(F.col("raw"))
+    tags = F.transform(variants.items(variants.value(F.col("v"), "$.tags")), lambda x: F.try_variant_get(x, "$", "string"))
+    return _loose(spark, d).withColumn("v", v).select(
+        "seq",
+        variants.kind(variants.value(F.col("v"), "$.question")).alias("question_kind"),
+        variants.field(F.col("v"), "$.question", "string", F.lit("")).alias("question"),
+        variants.field(F.col("v"), "$.confidence", "double", F.lit(0.0)).alias("confidence"),
+        F.size(tags).alias("n_tags"),
+        F.array_join(tags, ",").alias("tags"),
+    )
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    return qa_docs(spark, d).select("dataset_name", "seq", "labelled", F.length("question").alias("question_length"))
+
+
+def commits(spark, d):
+    """What is left after appends, a change of one dataset, and the deletion of another, each a commit of its own."""
+    table, rows = VersionedTable(spark, new_path(spark, "commits"), by="dataset_name"), _numbered(spark, d)
+    first, last = rows.agg(F.min("dataset_name"), F.max("dataset_name")).first()
+    table.append(rows.where("labelled"))
+    table.append(rows.where("NOT labelled"))
+    if first is not None:
+        now = table.latest().number
+        table.replace_keys([first], rows.where((F.col("dataset_name") == first) & (F.col("seq") % 2 == 0)), since=now)
+        table.drop_keys([last], since=now)
+        table.compact()
+    return table.read().groupBy("dataset_name").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.sum("question_length").alias("question_chars"))
+
+
+def migrated(spark, d):
+    """Rows of the first schema taken up, down and up again, by dataset and review mark."""
+    table, steps = VersionedTable(spark, new_path(spark, "migrated"), by="dataset_name"), Migrations(QA_STEPS)
+    table.append(_numbered(spark, d).drop("seq", "labelled"))
+    steps.migrate(table)
+    table.append(steps.taken(_numbered(spark, d).where("labelled").drop("seq", "labelled"), 1))
+    steps.reset(table)
+    return steps.read(table).groupBy("dataset_name", "human_reviewed").agg(F.count("*").alias("n"), F.count("seq").alias("n_seq"), F.sum("question_length").alias("question_chars"))
+
+
 def enrich_rows(spark, d):
     files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("dataset_id"), F.col("text").alias("content"))
     rows = flows.enrich(files, EngineConfig(), clock=_clock())
@@ -346,7 +416,7 @@ def file_items(spark, d):
 QUERIES = {f.__name__: f for f in (
     page_text, page_text_exact, page_text_stats, page_agents, url_clean, export_names, doc_chunks, chunk_counts, doc_content_id, exact_dup_groups, clean_text,
     known_languages, truncated_questions, dataset_list, dataset_headers, get_or_create, dataset_delete_effect, orphan_rows, qa_page, qa_detail, qa_without_copies,
-    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
+    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
     ingest_classify_fuzzy, sim_bound_pairs, sim_pairs_exact, sim_report_exact, sim_pairs, sim_totals_exact, clean_totals_exact, clean_exact, clean_fuzzy, export_items, export_preview, file_items,
 )}
 
@@ -400,6 +470,18 @@ ORACLES = {
     "qa_validate_strict": f"WITH {_CONV} SELECT conv_id, index, {_MARKED} AS question, {_stripped('answer')} AS answer, {_stripped('context')} AS context FROM conv WHERE conv_id NOT IN (SELECT conv_id FROM conv WHERE NOT ({_VALID}))",
     "qa_build_rows": f"{_IDS} SELECT seq, id, question, answer, confidence, CAST(length(context) AS INTEGER) AS context_length, CAST(length(question) AS INTEGER) AS question_length, CAST(length(answer) AS INTEGER) AS answer_length, '{CLOCK}' AS generated, id AS content_hash FROM qa",
     "qa_json_fields": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(try_cast(json_extract_string(props, '$.k') AS DOUBLE), 1) AS confidence, greatest(0, least(1, coalesce(value, 0.9))) AS threshold, format('{:.1f}%', greatest(0, least(1, coalesce(value, 0.9))) * 100) AS percent FROM events",
+    "json_defaults": f"""{_IDS}, {_LOOSE}, t AS (SELECT seq, CASE WHEN json_valid(raw) THEN raw ELSE '{{}}' END AS j FROM raw),
+      k AS (SELECT seq, j, json_type(j, '$.question') AS q, json_type(j, '$.confidence') AS c, json_type(j, '$.tags') AS t FROM t),
+      x AS (SELECT *, CASE t WHEN 'ARRAY' THEN json_extract_string(j, '$.tags[*]') WHEN 'VARCHAR' THEN [json_extract_string(j, '$.tags')] ELSE [] END AS tags FROM k)
+      SELECT seq, CASE WHEN q IS NULL THEN 'missing' WHEN q = 'VARCHAR' THEN 'string' WHEN q IN ('NULL', 'OBJECT', 'ARRAY', 'BOOLEAN') THEN lower(q) ELSE 'number' END AS question_kind,
+        CASE WHEN q IS NULL THEN '' WHEN q NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN json_extract_string(j, '$.question') END AS question,
+        CASE WHEN c IS NULL THEN 0.0::DOUBLE WHEN c NOT IN ('NULL', 'OBJECT', 'ARRAY') THEN try_cast(json_extract_string(j, '$.confidence') AS DOUBLE) END AS confidence,
+        CAST(len(tags) AS INTEGER) AS n_tags, array_to_string(tags, ',') AS tags FROM x""",
+    "commits": f"""{_IDS}, e AS (SELECT min(dataset_name) AS first, max(dataset_name) AS last FROM qa)
+      SELECT dataset_name, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, CAST(sum(length(question)) AS BIGINT) AS question_chars FROM qa, e
+      WHERE dataset_name <> last AND (dataset_name <> first OR seq % 2 = 0) GROUP BY dataset_name""",
+    "migrated": f"""{_IDS} SELECT dataset_name, false AS human_reviewed, count(*) + count(*) FILTER (labelled) AS n, CAST(0 AS BIGINT) AS n_seq,
+      CAST(sum(length(question)) + coalesce(sum(length(question)) FILTER (labelled), 0) AS BIGINT) AS question_chars FROM qa GROUP BY dataset_name""",
     "enrich_rows": rf"""WITH c AS (SELECT doc_id, source, CAST(n AS INTEGER) AS chunk, substr(text, 1 + 4800 * n, 5000) AS t FROM (SELECT doc_id, source, text, unnest(range(0, CAST(ceil(length(text) / 4800) AS BIGINT))) AS n FROM documents)),
       l AS (SELECT doc_id, source, chunk, i, {_stripped('string_split(t, chr(10))[i]')} AS body FROM c, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS r(i)),
       k AS (SELECT *, regexp_split_to_array(body, '{text.WS}+') AS w FROM l WHERE length(body) >= 50),

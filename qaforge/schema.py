@@ -44,6 +44,11 @@ def normalise_threshold(value, default: float = 0.9) -> float:
     return 1.0 if math.isnan(value) else max(0.0, min(1.0, value))
 
 
+def offered_threshold(value: float) -> float:
+    """The nearest of the thresholds that are offered for a choice: from 0.1 to 1 in steps of 0.05."""
+    return min(20, max(2, math.floor(20 * normalise_threshold(value) + 0.5))) / 20
+
+
 def checked_page(limit: int, offset: int) -> tuple[int, int]:
     """A page's limit (1 to 1000) and offset (0 or more); others are an error."""
     if not 1 <= limit <= 1000:
