@@ -106,7 +106,9 @@ def _open(uri: str):
 
 def _shard_writer(uri: str, vocab_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces.of_worker(pieces.PieceEncoder, vocab_path)
+        from pyspark import TaskContext
+
+        encoder, task = pieces.of_worker(pieces.PieceEncoder, vocab_path), TaskContext.get().partitionId()
         name, stream, offset, last, times = f"{uuid.uuid4().hex}.bin", None, 0, "no id yet", 0
         try:
             for batch in batches:
@@ -121,9 +123,9 @@ def _shard_writer(uri: str, vocab_path: str, end_id: int):
                     for doc_id, n in zip(batch.column("doc_id").slice(first, len(part)).to_pylist(), count.tolist()):
                         times = times + 1 if doc_id == last else 0
                         last = doc_id
-                        rows.append((doc_id, times, name, offset, n))
+                        rows.append((doc_id, times, task, name, offset, n))
                         offset += n
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "occurrence", "file", "at", "n_tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "occurrence", "range", "file", "at", "n_tokens"])
         finally:
             if stream is not None:
                 stream.close()
@@ -135,21 +137,26 @@ def write_store(docs: DataFrame, uri: str, vocab_path: str, end_id: int = 0, key
     """Encode docs (doc_id, text) and write a store at uri.
 
     A null text is empty, so its document has the end id alone. Documents with a null id come first, under the key of
-    id 0 and an occurrence counted from 2**62. Rows that repeat an id stay, in text order, under occurrences 0, 1, ...
-    Equal rows are tied and get their occurrences in either order. Only doc_id and text are read, so other columns of docs,
-    whatever their names, take no part. An empty table gives a store without files. Only one range of ids at a time passes through a task, as a stream.
+    id 0 and an occurrence counted from 2**62. Rows that repeat an id stay, in the order of their texts' hashes, under
+    occurrences 0, 1, ... Equal rows are tied and get their occurrences in either order. Only doc_id and text are read, so
+    other columns of docs, whatever their names, take no part. An empty table gives a store without files. A task has one
+    range of (doc_id, hash, place in the input), as a stream, so an id that very many rows have, or copies under one id, are
+    dealt over tasks.
 
     Returns the store's description: its uri, id width, the table of shards (number, file, first id's place in the whole
     sequence) and the table of index files (bucket, file).
     """
     spark = docs.sparkSession
-    ordered = doc_text(docs).repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    entries = written(ordered.mapInArrow(_shard_writer(uri, vocab_path, end_id), "doc_id long, occurrence long, file string, at long, n_tokens long"), "token-entries")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    placed = doc_text(docs).withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    ordered = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    entries = written(ordered.mapInArrow(_shard_writer(uri, vocab_path, end_id), "doc_id long, occurrence long, range int, file string, at long, n_tokens long"), "token-entries")
+    entries = _counted_on(entries)
     null = F.col("doc_id").isNull()
     entries = entries.withColumn("occurrence", F.when(null, F.lit(1 << 62)).otherwise(0) + F.col("occurrence")).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     # One row for each file from here on.
-    files = entries.groupBy("file").agg(F.min(F.struct(F.col("occurrence") < (1 << 62), F.col("doc_id"))).alias("first"), F.sum("n_tokens").alias("n_ids"))
-    in_order = Window.orderBy("first")
+    files = entries.groupBy("file").agg(F.min("range").alias("range"), F.sum("n_tokens").alias("n_ids"))
+    in_order = Window.orderBy("range")
     shards = written(files.select("file", (F.row_number().over(in_order) - 1).cast("long").alias("shard"), (F.sum("n_ids").over(in_order) - F.col("n_ids")).alias("base"), "n_ids"), "token-shards")
     buckets = max(1, -(-entries.count() // keys_per_bucket))
 
@@ -169,6 +176,37 @@ def write_store(docs: DataFrame, uri: str, vocab_path: str, end_id: int = 0, key
     return {"uri": uri, "width": size, "buckets": buckets, "shards": shards, "index": index_files, "spark": spark}
 
 
+def _counted_on(entries: DataFrame) -> DataFrame:
+    """entries, whose occurrences are counted in each range anew, counted on from range to range.
+
+    An id that several ranges share is the first or the last one of each of them, so the tables on the way have a few rows for
+    each range (a task) and may be broadcast.
+    """
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("doc_id"))
+    ends = entries.groupBy("range").agg(F.array(F.min(key), F.max(key)).alias("ends"))
+    shared = ends.select("range", F.explode("ends").alias("end")).distinct().groupBy("end").agg(F.count("*").alias("n")).where("n > 1").select(F.col("end.doc_id").alias("id"))
+    own = entries.join(F.broadcast(shared), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("doc_id", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    before = own.select(F.col("doc_id").alias("id"), F.col("range").alias("of"), F.coalesce(before, F.lit(0)).alias("before"))
+    on = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("range") == F.col("of"))
+    out = entries.join(F.broadcast(before), on, "left").withColumn("occurrence", F.col("occurrence") + F.coalesce("before", F.lit(0)))
+    return out.drop("id", "of", "before")
+
+
+def keys_of(docs: DataFrame) -> DataFrame:
+    """The keys (doc_id, occurrence) that `write_store` gives to the rows of docs.
+
+    Rows of an id are counted by parts of the table and numbered from what the parts before have, so an id that very many rows
+    have is numbered by many tasks.
+    """
+    salted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.spark_partition_id() % 256).alias("salt")).groupBy("doc_id", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))  # 256 rows at most
+    first = salted.withColumn("first", F.coalesce(before, F.lit(0))).repartition(F.col("doc_id"), F.col("salt"))
+    rows = first.select("doc_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("occurrence"))
+    null = F.col("doc_id").isNull()
+    return rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), (F.when(null, F.lit(1 << 62)).otherwise(0) + F.col("occurrence")).alias("occurrence"))
+
+
 def bucket_of(buckets: int):
     return F.pmod(F.xxhash64("doc_id", "occurrence"), F.lit(buckets)).cast("long")
 
@@ -227,10 +265,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     store = write_store(docs, new_path(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"))
-    null = F.col("doc_id").isNull()
-    times = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id")) - 1
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), times.cast("long").alias("occurrence"))
-    keys = keys.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), (F.when(null, F.lit(1 << 62)).otherwise(0) + F.col("occurrence")).alias("occurrence"))
-    out = read_ids(lookup(keys, store), store, checksum_only=True)
+    out = read_ids(lookup(keys_of(docs), store), store, checksum_only=True)
     known = F.col("occurrence") < (1 << 62)
     return out.select(F.when(known, F.col("doc_id")).alias("doc_id"), "start", "n_tokens", F.col("ids").alias("ids_crc32"))

@@ -526,6 +526,11 @@ def test_pipeline(spark, tmp_path):
     near = set(kept["ngram_jaccard_join"])
     assert 1000 in near and not {1001, 1002} & near and set(kept["toxicity"]) - near == {1001, 1002}
     assert passage in kept["substring_dedup"][1004]["text"] and kept["substring_dedup"][1005]["text"] == " ".join(WORDS[200:260])
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("_score", "_predicted", "_later", "_spans", "_doc", "_hash", "_places", "_rest")}).where("doc_id >= 1000")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, d)
+        assert out.columns == odd.columns
+        assert {r["doc_id"] for r in out.where("_later = concat('_later', doc_id) AND _hash = concat('_hash', doc_id)").collect()} >= {1000, 1004, 1006, 1007, 1009}
     assert set(kept["substring_dedup"]) == near and near - set(kept["decontamination"]) == {1003}
     assert set(kept["best_fit_packing"]) == set(kept["decontamination"])
     assert corpus_pipeline.run(spark, d).count() == now.count()  # a long text has several pieces

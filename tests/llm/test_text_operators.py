@@ -86,7 +86,8 @@ def test_store_round_trip(spark, tmp_path):
     got = {(r["doc_id"], r["occurrence"]): (r["start"], r["ids"]) for r in token_store.read_ids(found, store).collect()}
     encode = lambda t: [*library().encode(t or "", add_special_tokens=False).ids, 0]
     start, want, times = 0, {}, {}
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    hashes = dict(tuple(r) for r in df.select(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).collect())
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1] or ""])):
         k = times[i] = times.get(i, -1) + 1
         want[(0, 1 << 62) if i is None else (i, k)] = (start, encode(t))
         start += len(encode(t))
@@ -95,6 +96,29 @@ def test_store_round_trip(spark, tmp_path):
     assert token_store.lookup(spark.createDataFrame(keys, "doc_id long, occurrence long"), empty).count() == 0
 
 
+def test_store_of_one_hot_id(spark, tmp_path):
+    """Copies under one id, and rows without an id, are dealt over tasks; their occurrences are counted on."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(7, "copy of one text")] * 300 + [(7, f"text {i}") for i in range(100)] + [(None, f"no id {i}") for i in range(200)] + [(i, "") for i in range(20)]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+        store = token_store.write_store(df, f"file://{tmp_path}/hot", VOCAB, end_id=0, keys_per_bucket=100)
+        assert store["shards"].count() == 4
+        keys = token_store.keys_of(df)
+        assert sorted(tuple(r) for r in keys.collect()) == sorted([(7, k) for k in range(401)] + [(0, (1 << 62) + k) for k in range(200)] + [(i, 0) for i in range(20) if i != 7])
+        read = token_store.read_ids(token_store.lookup(keys, store), store).collect()
+        assert len(read) == len(rows) == len({(r["doc_id"], r["occurrence"]) for r in read})
+        at = 0
+        for r in sorted(read, key=lambda r: r["start"]):
+            assert r["start"] == at
+            at += len(r["ids"])
+        encode = lambda t: [*library().encode(t, add_special_tokens=False).ids, 0]
+        ids = lambda r: None if r["occurrence"] >= 1 << 62 else r["doc_id"]
+        assert sorted(((ids(r), r["ids"]) for r in read), key=repr) == sorted(((i, encode(t)) for i, t in rows), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_lower_bounds_hold():
     rng = np.random.default_rng(2)
     for _ in range(20):
