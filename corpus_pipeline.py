@@ -1,7 +1,8 @@
 """A corpus pipeline of five operators: toxicity, near duplicates, repeated lines, benchmark contamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next.
-All but the last keep the columns of documents and work on all rows that the stage before kept.
+All but the last keep the columns of documents, others too, whatever their names, and work on all rows that the stage before
+kept.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qaforge.llm import decontamination, ngram_join, packing, substring_dedup, toxicity
-from qaforge.llm.shared import table, written
+from qaforge.llm.shared import free_names, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Without labels of both classes nothing is rejected, as all score 0.5.
     """
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.with_scores(docs, model, score_col="_score", predicted_col="_predicted").where("_predicted = 0").select(*docs.columns)
+    score, predicted = free_names(docs, "_score", "_predicted")
+    return toxicity.with_scores(docs, model, score_col=score, predicted_col=predicted).where(F.col(predicted) == 0).drop(score, predicted)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     found = ngram_join.near_duplicates(docs, ngram_join.Scheme(5, 4, 5))
     # An id that is not its component's smallest goes.
-    later = found.where("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs["doc_id"] == F.col("_later"), "left_anti")
+    (gone,) = free_names(docs, "_later")
+    later = found.where("component_id < doc_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(later, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null texts stay null, and a text of which nothing is left is empty. Rows that repeat id and text lose the same parts.
     """
-    return substring_dedup.without_repeats(docs, removed_col="_spans").select(*docs.columns)
+    (spans,) = free_names(docs, "_spans")
+    return substring_dedup.without_repeats(docs, removed_col=spans).drop(spans)
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +54,10 @@ def without_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     alone, those with a contaminated text go. An empty benchmark contaminates nothing.
     """
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    doc, same_text = free_names(docs, "_doc", "_hash")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(same_text)).distinct()
     text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (text_hash == F.col("_hash")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (text_hash == F.col(same_text)), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
