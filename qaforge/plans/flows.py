@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.html import page_text
@@ -59,3 +62,18 @@ def metrics(found: DataFrame, n_urls: int, seconds: float) -> DataFrame:
     return found.agg(F.count("*").alias("total_questions"), F.count_if(F.col("type") == "new").alias("stored"), F.count_if(F.col("type") != "new").alias("duplicates")).select(
         F.lit(n_urls).alias("urls_processed"), "total_questions", "stored", "duplicates", F.lit(float(seconds)).alias("seconds"), F.lit(n_urls / seconds if seconds > 0 else 0.0).alias("urls_per_second")
     )
+
+
+def stored(found: DataFrame, write: Callable[[DataFrame], None], n_urls: int) -> DataFrame:
+    """Write the new rows of a run of generate, and give its metrics: the counters are observed while the rows are written, so one
+    job does both and nothing is read twice. write takes the rows without `type`, such as lambda rows: table.append(rows).
+
+    Counters are null if write reads none of its rows.
+    """
+    counted, began = Observation(), time.monotonic()
+    kind = F.col("type")
+    watched = found.observe(counted, F.count(F.lit(1)).alias("total_questions"), F.count_if(kind == "new").alias("stored"), F.count_if(kind == "exact").alias("exact_duplicates"), F.count_if(kind == "similar").alias("similar_duplicates"))
+    write(watched.where(kind == "new").drop("type"))
+    seconds, seen = time.monotonic() - began, counted.get
+    names = ("total_questions", "stored", "exact_duplicates", "similar_duplicates")
+    return found.sparkSession.createDataFrame([(n_urls, *(seen.get(n) for n in names), seconds, n_urls / seconds if seconds > 0 else 0.0)], f"urls_processed long, {', '.join(f'{n} long' for n in names)}, seconds double, urls_per_second double")

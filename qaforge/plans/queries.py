@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import html, paging, text, urls, variants
 from ..operators import catalog, dedup, export, qa, similarity, validate
 from ..schema import EngineConfig
+from ..sources import buckets, clustered
 from ..sources.migrations import QA_STEPS, Migrations
 from ..sources.store import new_path
 from ..sources.versions import VersionedTable
@@ -323,6 +324,44 @@ def migrated(spark, d):
     return steps.read(table).groupBy("dataset_name", "human_reviewed").agg(F.count("*").alias("n"), F.count("seq").alias("n_seq"), F.sum("question_length").alias("question_chars"))
 
 
+def bucketed_probe(spark, d):
+    """Which of the incoming rows the store has, the store bucketed by id and left in place."""
+    path, rows = new_path(spark, "store"), _with_ids(qa_docs(spark, d))
+    store = buckets.write_bucketed(rows.where("labelled").select("id", "seq"), f"probe_{path.rsplit('-', 1)[1]}", path, buckets=16)
+    return buckets.probed(rows.where("NOT labelled").select("seq", "id"), store)
+
+
+def keyset_pages(spark, d):
+    """Five pages of 10 rows of the largest dataset, each asked for by the end of the one before."""
+    path, rows = new_path(spark, "clustered"), _with_ids(qa_docs(spark, d)).select("dataset_id", "created_at", "id", "seq")
+    clustered.write_clustered(rows, path)
+    largest = rows.groupBy("dataset_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dataset_id").first()
+    out, after = None, None
+    for number in range(1, 6):
+        one = clustered.page(spark, path, largest["dataset_id"] if largest else None, 10, after)
+        after = clustered.cursor_of(one)
+        one = one.select(F.lit(number).alias("page"), "id", "seq")
+        out = one if out is None else out.unionByName(one)
+        if after is None:
+            break
+    return out
+
+
+def _lines_model():
+    """A model that asks about each long line."""
+
+    def ask(text: str, reason: str | None) -> list[dict]:
+        lines = [x for x in text.split("\n") if len(x) >= 50 and x.strip()]
+        return [{"question": f"What is line {i} of {len(lines)}?", "answer": x, "context": None, "confidence": 1 / (1 + i)} for i, x in enumerate(lines)]
+
+    return ask
+
+
+def called_pairs(spark, d):
+    texts = _table(spark, d, "documents").select("doc_id", "text")
+    return models.called_pairs(texts, "doc_id", _lines_model).drop("context")
+
+
 def enrich_rows(spark, d):
     files = _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.col("source").alias("dataset_id"), F.col("text").alias("content"))
     rows = flows.enrich(files, EngineConfig(), clock=_clock())
@@ -416,7 +455,7 @@ def file_items(spark, d):
 QUERIES = {f.__name__: f for f in (
     page_text, page_text_exact, page_text_stats, page_agents, url_clean, export_names, doc_chunks, chunk_counts, doc_content_id, exact_dup_groups, clean_text,
     known_languages, truncated_questions, dataset_list, dataset_headers, get_or_create, dataset_delete_effect, orphan_rows, qa_page, qa_detail, qa_without_copies,
-    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
+    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, bucketed_probe, keyset_pages, called_pairs, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
     ingest_classify_fuzzy, sim_bound_pairs, sim_pairs_exact, sim_report_exact, sim_pairs, sim_totals_exact, clean_totals_exact, clean_exact, clean_fuzzy, export_items, export_preview, file_items,
 )}
 
@@ -482,6 +521,13 @@ ORACLES = {
       WHERE dataset_name <> last AND (dataset_name <> first OR seq % 2 = 0) GROUP BY dataset_name""",
     "migrated": f"""{_IDS} SELECT dataset_name, false AS human_reviewed, count(*) + count(*) FILTER (labelled) AS n, CAST(0 AS BIGINT) AS n_seq,
       CAST(sum(length(question)) + coalesce(sum(length(question)) FILTER (labelled), 0) AS BIGINT) AS question_chars FROM qa GROUP BY dataset_name""",
+    "bucketed_probe": f"{_IDS} SELECT seq, id, id IN (SELECT id FROM qa WHERE labelled) AS exists FROM qa WHERE NOT labelled",
+    "keyset_pages": f"""{_IDS}, l AS (SELECT dataset_id FROM qa GROUP BY dataset_id ORDER BY count(*) DESC, dataset_id LIMIT 1),
+      n AS (SELECT id, seq, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM qa SEMI JOIN l USING (dataset_id))
+      SELECT CAST((n - 1) // 10 + 1 AS INTEGER) AS page, id, seq FROM n WHERE n <= 50""",
+    "called_pairs": f"""WITH l AS (SELECT doc_id, i, string_split(text, chr(10))[i] AS answer FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS r(i)),
+      n AS (SELECT doc_id, answer, CAST(row_number() OVER w - 1 AS INTEGER) AS index, count(*) OVER (PARTITION BY doc_id) AS n FROM l WHERE length(answer) >= 50 AND {_stripped('answer')} <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+      SELECT doc_id, index, 'What is line ' || index || ' of ' || n || '?' AS question, answer, 1.0::DOUBLE / (1 + index) AS confidence, CAST(NULL AS VARCHAR) AS error FROM n""",
     "enrich_rows": rf"""WITH c AS (SELECT doc_id, source, CAST(n AS INTEGER) AS chunk, substr(text, 1 + 4800 * n, 5000) AS t FROM (SELECT doc_id, source, text, unnest(range(0, CAST(ceil(length(text) / 4800) AS BIGINT))) AS n FROM documents)),
       l AS (SELECT doc_id, source, chunk, i, {_stripped('string_split(t, chr(10))[i]')} AS body FROM c, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS r(i)),
       k AS (SELECT *, regexp_split_to_array(body, '{text.WS}+') AS w FROM l WHERE length(body) >= 50),
