@@ -4,7 +4,8 @@ Units are whole lines and, for passages inside lines or across them, runs of `wi
 STEP neighbouring words one at least is an anchor, and which one follows from these words alone. So two copies of a passage
 have the same units in it, and all of it is in such units but for STEP - 1 words at each end.
 Units are normalised and digested, digests are grouped over the whole corpus, the occurrence of the earliest rank stays, and
-the words of every other are removed, with their places in the original text kept.
+the words of every other are removed, with their places in the original text kept. A lone run of words is often a phrase that
+texts share by chance, so passages go only where such units make up RUN words without a gap.
 
 Units are told apart by 64-bit digests: two given ones collide with a chance of 2**-64.
 """
@@ -25,6 +26,7 @@ from .words import mix
 
 WINDOW = 16  # words of a passage's unit
 STEP = 5  # so a shared passage of WINDOW + STEP - 1 words is found; about every third word is an anchor
+RUN = 24  # words that neighbouring repeated units must make up; a shared passage of RUN + 2 * (STEP - 1) words always does
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -46,8 +48,8 @@ def _starts(before: np.ndarray) -> np.ndarray:
 
 
 def _units(part: pa.Array, min_words: int, min_chars: int, window: int) -> tuple[np.ndarray, ...]:
-    """Text, first word, number of words and digest of each unit of some texts, and whether it repeats one that ends before it
-    in its text."""
+    """Text, first word, twice the number of words (plus 1 for a line) and digest of each unit of some texts, and whether it
+    repeats one that ends before it in its text."""
     w = words.Words(part, words.SPACED)
     n = len(w)
     text = np.repeat(np.arange(len(part)), np.diff(w.first))
@@ -78,7 +80,7 @@ def _units(part: pa.Array, min_words: int, min_chars: int, window: int) -> tuple
     # The first unit of a digest in its own text; `unique` gives the earliest of equal ones, as each kind is in order.
     _, earliest, same = np.unique(digest + mix(text[first].astype(np.uint64)), return_index=True, return_inverse=True)
     again = first >= last[earliest[same]] if len(first) else np.zeros(0, bool)
-    return text[first], first - w.first[text[first]], last - first, digest, again
+    return text[first], first - w.first[text[first]], 2 * (last - first) + (np.arange(len(first)) < len(a)), digest, again
 
 
 def units(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW) -> DataFrame:
@@ -86,7 +88,7 @@ def units(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int
 
     Units are the lines of at least min_words words or min_chars normalised characters, and the runs of `window` words (two
     at least) that begin at an anchor; a window of 0 leaves these out. A text with fewer than STEP runs has them all as units.
-    place: the first word's number times 2**32, plus the number of words. again: whether the unit repeats one of its own text
+    place: the first word's number times 2**32, plus twice the number of words, plus 1 for a line. again: whether the unit repeats one of its own text
     that ends before it. doc: doc_id, the least long for null.
     """
 
@@ -123,22 +125,28 @@ def repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: i
     return again.where("doc > first_doc OR again").unionByName(later.select(*again.columns)).select("doc", "text_hash", "place")
 
 
-def removed_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
-    """Start and end (code points) of what goes from a text with the words at these places.
+def _runs(places: list[tuple[int, int]]) -> list[list[int]]:
+    """Overlapping and touching ranges (first, last), made one."""
+    out: list[list[int]] = []
+    for first, last in sorted(places):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
+def removed_spans(text: str, places: list[int], least_run: int = RUN) -> list[tuple[int, int]]:
+    """Start and end (code points) of what goes from a text with the units at these places: lines, and runs of other units of at
+    least least_run words together.
 
     A word takes the white space after it along. A run of words that begins inside a line and ends with a line leaves the
     line break.
     """
     at = [m.span() for m in _WORD.finditer(text)]
-    out, end = [], -1
-    runs: list[list[int]] = []
-    for place in sorted(places):
-        first, last = place >> 32, (place >> 32) + (place & 0xFFFFFFFF)
-        if first <= end:
-            end = runs[-1][1] = max(end, last)
-        else:
-            runs.append([first, last])
-            end = last
+    ranges = lambda line: [(p >> 32, (p >> 32) + ((p & 0xFFFFFFFF) >> 1)) for p in places if p & 1 == line]
+    runs = _runs([*ranges(1), *((a, b) for a, b in _runs(ranges(0)) if b - a >= least_run)])
+    out = []
     for first, last in runs:
         begins = first == 0 or "\n" in text[at[first - 1][1] : at[first][0]]
         to = at[last][0] if last < len(at) else len(text)
@@ -148,8 +156,8 @@ def removed_spans(text: str, places: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW, removed_col: str = "removed") -> DataFrame:
-    """docs without the units of `repeats`, with removed_col: start and end (code points of the original text) of each part
+def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: int = WINDOW, removed_col: str = "removed", least_run: int = RUN) -> DataFrame:
+    """docs without the lines of `repeats`, and its other units where they make up runs of least_run words, with removed_col: start and end (code points of the original text) of each part
     that went, in order.
 
     All rows and all other columns stay, whatever their names; a column of the name removed_col is replaced. A document of which nothing is left has an empty
@@ -166,7 +174,7 @@ def without_repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, w
     def rest(texts: pa.Array, places: pa.Array) -> pa.Array:
         kept, gone = [], []
         for text, own in zip(texts.to_pylist(), places.to_pylist()):
-            found = removed_spans(text, own) if own else []
+            found = removed_spans(text, own, least_run) if own else []
             cuts = [0, *(x for span in found for x in span), None]
             kept.append("".join([text[a:b] for a, b in zip(cuts[::2], cuts[1::2])]) if found else text)
             gone.append([{"start": a, "end": b} for a, b in found])
@@ -206,12 +214,14 @@ WITH t AS (
 ), o AS (SELECT e.*, len(words) - 15 AS n FROM e JOIN d USING (doc_id) WHERE i + 16 <= len(words)), l AS (
   SELECT doc_id, min(key * 4294967296 + i) OVER v % 4294967296 AS i, count(*) OVER v AS c FROM o WINDOW v AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)
 ), anchors AS (SELECT doc_id, i FROM l WHERE c = 5 UNION SELECT doc_id, i FROM o WHERE n < 5), u AS (
-  SELECT doc_id, min(i) AS first, count(*) AS size, 'line ' || string_agg(word, ' ' ORDER BY i) AS body FROM p GROUP BY doc_id, line
+  SELECT doc_id, min(i) AS first, count(*) AS size, true AS is_line, 'line ' || string_agg(word, ' ' ORDER BY i) AS body FROM p GROUP BY doc_id, line
     HAVING count(*) >= 10 OR sum(length(word)) + count(*) - 1 >= 40
-  UNION ALL SELECT doc_id, i, 16, array_to_string(words[i + 1 : i + 16], ' ') FROM anchors JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, i, 16, false, array_to_string(words[i + 1 : i + 16], ' ') FROM anchors JOIN d USING (doc_id)
 ), f AS (SELECT *, min(doc_id) OVER (PARTITION BY body) AS first_doc, first_value(first + size) OVER (PARTITION BY body, doc_id ORDER BY first) AS first_end FROM u
-), g AS (
-  SELECT DISTINCT doc_id, unnest(range(first, first + size)) AS i FROM f WHERE doc_id > first_doc OR first >= first_end
+), v AS (
+  SELECT DISTINCT doc_id, is_line, unnest(range(first, first + size)) AS i FROM f WHERE doc_id > first_doc OR first >= first_end
+), h AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, is_line ORDER BY i) AS island FROM v), g AS (
+  SELECT DISTINCT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, is_line, island) AS n FROM h) WHERE is_line OR n >= 24
 ), r AS (
   SELECT p.*, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, i = 0 OR line <> lag_line AS begins
   FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS lag_line FROM p) p SEMI JOIN g USING (doc_id, i)

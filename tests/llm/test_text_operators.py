@@ -245,7 +245,7 @@ def test_repeated_lines(spark):
     assert substring_dedup.repeats(df.limit(0)).count() == 0 and substring_dedup.without_repeats(df.limit(0)).count() == 0
 
 
-def brute_force_rest(docs, least, chars, window):
+def brute_force_rest(docs, least, chars, window, run):
     """Cleaned texts of docs (in order of rank, no id twice) by sets of word tuples."""
     low = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     key = lambda a, b: (7 * len(a) * a[0] + 31 * a[-1] + 13 * b[0] + len(b)) % 257
@@ -263,11 +263,19 @@ def brute_force_rest(docs, least, chars, window):
             keys = [key(w[p].encode(), w[p + 1].encode()) for p in range(len(w) - window + 1)]
             chosen = {min(range(p, p + 5), key=lambda q: (keys[q], q)) for p in range(len(keys) - 4)} if len(keys) >= 5 else range(len(keys))
             found += [("passage", p, p + window) for p in sorted(chosen)]
-        gone = [False] * len(w)
+        gone, passed = [False] * len(w), [False] * (len(w) + 1)
         for what, a, b in found:
             doc, end = first.setdefault((what, tuple(w[a:b])), (i, b))
             if doc != i or a >= end:
-                gone[a:b] = [True] * (b - a)
+                (gone if what == "line" else passed)[a:b] = [True] * (b - a)
+        begun = None
+        for p, x in enumerate(passed):
+            if x and begun is None:
+                begun = p
+            elif not x and begun is not None:
+                if p - begun >= run:
+                    gone[begun:p] = [True] * (p - begun)
+                begun = None
         kept, p = text[: at[0][0]] if at else text, 0
         while p < len(w):
             q = p
@@ -283,14 +291,14 @@ def brute_force_rest(docs, least, chars, window):
     return out
 
 
-@pytest.mark.parametrize(("least", "chars", "window"), [(1, 1000, 0), (3, 9, 0), (1000, 1000, 3), (4, 12, 4)])
-def test_repeats_against_brute_force(spark, least, chars, window):
+@pytest.mark.parametrize(("least", "chars", "window", "run"), [(1, 1000, 0, 0), (3, 9, 0, 5), (1000, 1000, 3, 0), (4, 12, 4, 4), (1000, 1000, 3, 5), (4, 12, 4, 6)])
+def test_repeats_against_brute_force(spark, least, chars, window, run):
     rng = random.Random(least + window)
     parts = ["a b c", "A  b c", "d e", "f", "", " g h i j", "été 水水 x", "k l m n o p", "　q r"]
     docs = [(i, "".join(rng.choice(parts) + rng.choice(["\n", " ", "\n\n", " \t"]) for _ in range(rng.randint(0, 9)))) for i in range(60)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    out = substring_dedup.without_repeats(df, least, chars, window).collect()
-    assert {r["doc_id"]: r["text"] for r in out} == brute_force_rest(docs, least, chars, window)
+    out = substring_dedup.without_repeats(df, least, chars, window, least_run=run).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == brute_force_rest(docs, least, chars, window, run)
     texts = dict(docs)
     for r in out:
         gone = [(s["start"], s["end"]) for s in r["removed"]]
@@ -326,6 +334,19 @@ def test_repeated_passages(spark):
     assert len(out[2000]) == 3 and sum(p.startswith(passages[1] + " of") for p in out[2000]) == 1 and sum(len(p) < 100 for p in out[2000]) == 2
 
 
+def test_a_lone_phrase_stays(spark):
+    """Twenty shared words are a phrase, fifty a passage; a long text too, and one whose passage is cut up by other words."""
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    phrase, passage = prose(20), prose(50)
+    parts = passage.split(" ")
+    cut = " ".join([*parts[:20], "other", *parts[20:40], "words", *parts[40:]])
+    docs = [(1, f"{prose(30)} {phrase} {prose(30)} {passage}"), (2, f"{prose(40)} {phrase} {prose(40)}"), (3, f"{prose(20_000)} {passage} {prose(20_000)}"), (4, f"{prose(10)} {cut} {prose(10)}")]
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(out[i] == t for i, t in docs if i in (1, 2, 4))
+    assert 40_000 <= len(out[3].split()) <= 40_008
+
+
 def test_passages_of_short_lines_and_of_one_word(spark):
     verse = "\n".join(f"verse {i} of the song" for i in range(12))  # 60 words, five a line
     script = "水" * 70  # one word to the eye of white space
