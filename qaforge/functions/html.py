@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import entities
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -31,6 +32,86 @@ def page_text(html: Column) -> Column:
     return collapse(text)
 
 
+_ALL = 1 << 30
+# The tokens of a page. They decide where markup ends. A tag ends at the first > outside a quoted value; loops are
+# possessive, so a long tag doesn't nest.
+_REST = r"""[^>=]*+(?:=[\s=]*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+_TOKEN = "|".join([
+    r"<!--(?:-?>|.*?(?:--!?>|\z))",
+    rf"<script(?=[\s/>]){_REST}.*?(?:</script(?=[\s/>])[^>]*>|\z)",
+    rf"<style(?=[\s/>]){_REST}.*?(?:</style(?=[\s/>])[^>]*>|\z)",
+    rf"</?[a-z]{_REST}",
+    r"</?[a-z][^<>]*+\z",
+    r"<(?:[!?]|/[^a-z])[^>]*+>",
+    r"[^<]++",
+    r"<",
+])
+#: Names of character references that need no semicolon, and of all others, from Python's own table.
+_BARE = "|".join(sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, as HTML reads a numeric reference: some stand for others, some for nothing."""
+    # A letter before it keeps U+FEFF from being taken for a byte order mark.
+    char = F.substring(F.decode(F.concat(F.unhex(F.lit("00000078")), F.unhex(F.lpad(F.hex(code), 8, "0"))), "UTF-32"), 2, 2)
+    other = F.create_map(*(F.lit(x) for k, v in sorted(_CONTROLS.items()) for x in (k, v)))
+    nothing = code.between(1, 8) | code.between(14, 31) | code.between(127, 159) | (code == 11) | code.between(0xFDD0, 0xFDEF) | (code.bitwiseAND(0xFFFE) == 0xFFFE)
+    return F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(other[code].isNotNull(), other[code]).when(nothing, "").otherwise(char)
+
+
+#: What references to the C1 controls stand for: the characters of Windows-1252, and a few that stay as they are.
+_CONTROLS = {13: "\r", **{i: bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(0x80, 0xA0)}}
+
+
+def unescaped(text: Column) -> Column:
+    """Character references as characters: named ones, with or without the semicolon where HTML allows it, and numeric ones."""
+    named = F.create_map(*(F.lit(x) for k, v in sorted(entities.html5.items()) for x in (k, v)))
+    number = lambda x, pattern, base: F.conv(F.right(F.regexp_extract(x, pattern, 1), F.lit(12)), base, 10).cast("long")
+
+    def one(x: Column) -> Column:
+        decimal, sixteen = r"^#0*+([0-9]+);?", r"^#[xX]0*+([0-9a-fA-F]+);?"
+        zero, full, bare = r"^#(?:[xX]0+|0+)(?![0-9a-fA-F]);?", F.regexp_extract(x, "^([A-Za-z][A-Za-z0-9]{0,31};)", 1), F.regexp_extract(x, f"^({_BARE})", 1)
+        rest = lambda pattern: F.regexp_replace(x, pattern, "")
+        return (
+            F.when(x.rlike(decimal), F.concat(_character(number(x, decimal, 10)), rest(decimal)))
+            .when(x.rlike(sixteen), F.concat(_character(number(x, sixteen, 16)), rest(sixteen)))
+            .when(x.rlike(zero), F.concat(F.lit("\ufffd"), rest(zero)))
+            .when(named[full].isNotNull(), F.concat(named[full], F.substr(x, F.length(full) + 1)))
+            .when(bare != "", F.concat(named[bare], F.substr(x, F.length(bare) + 1)))
+            .otherwise(F.concat(F.lit("&"), x))
+        )
+
+    pieces = F.split(text, "&")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, 2, _ALL), one)), "")).otherwise(text)
+
+
+def any_page_text(html: Column) -> Column:
+    """page_text of any page, in native expressions: quoted attributes that hold brackets, stray brackets, unfinished comments and
+    scripts, numeric references, pages without a body.
+
+    Text counts from the first <body> to the first </body> after it; of a page without a <body>, all but its head. A comment or a
+    tag that the page ends in is no text, as the HTML standard has it (Python's parser takes it for text). Null for null.
+    """
+    tokens = F.regexp_extract_all(html, F.lit(f"(?is){_TOKEN}"), 0)
+    # Lists are bound as items of a list, so that each is made once.
+    marked = F.transform(F.array(tokens), lambda t: F.struct(t.alias("tokens"), F.transform(t, lambda x: F.when(x.endswith(">"), F.lower(F.regexp_extract(x, r"^(</?[a-zA-Z][^\t\n\r\f />]*)", 1))).otherwise("")).alias("names")))
+
+    def kept(x: Column) -> Column:
+        after = lambda of, name, at: F.array_position(F.slice(of, at, _ALL), name)
+        size = F.size(x["tokens"])
+        body, head = F.array_position(x["names"], "<body"), F.array_position(x["names"], "<head")
+        close = after(x["names"], "</body", (body + 1).cast("int"))
+        inside = F.slice(x["tokens"], (body + 1).cast("int"), F.when(close > 0, close - 1).otherwise(size).cast("int"))
+        back = after(x["names"], "</head", F.greatest(head, F.lit(1)).cast("int"))
+        first = F.array_position(x["names"], "</body")
+        bare = F.when(head > 0, F.concat(F.slice(x["tokens"], 1, (head - 1).cast("int")), F.when(back > 0, F.slice(x["tokens"], (head + back).cast("int"), _ALL)).otherwise(F.array().cast("array<string>"))))
+        bare = F.coalesce(bare, F.when(first > 0, F.slice(x["tokens"], 1, (first - 1).cast("int"))).otherwise(x["tokens"]))
+        return F.when(body > 0, inside).otherwise(bare)
+
+    texts = F.filter(F.transform(marked, kept)[0], lambda t: ~t.startswith("<") | (t == "<"))
+    return collapse(F.array_join(F.transform(texts, unescaped), " "))
+
+
 class _Text(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)

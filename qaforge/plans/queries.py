@@ -125,6 +125,10 @@ def page_text_exact(spark, d):
     return _table(spark, d, "pages").select("page_id", text.sha256(F.col("url")).alias("url_hash"), html.page_text_exact("html").alias("content"))
 
 
+def page_text_any(spark, d):
+    return _table(spark, d, "pages").select("page_id", text.sha256(F.col("url")).alias("url_hash"), html.any_page_text(F.col("html")).alias("content"))
+
+
 def page_text_stats(spark, d):
     content = flows.snapshots(_table(spark, d, "pages"))
     n = F.size(text.chunks(F.col("content"), 1000, 200)).cast("long")
@@ -453,7 +457,7 @@ def file_items(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    page_text, page_text_exact, page_text_stats, page_agents, url_clean, export_names, doc_chunks, chunk_counts, doc_content_id, exact_dup_groups, clean_text,
+    page_text, page_text_exact, page_text_any, page_text_stats, page_agents, url_clean, export_names, doc_chunks, chunk_counts, doc_content_id, exact_dup_groups, clean_text,
     known_languages, truncated_questions, dataset_list, dataset_headers, get_or_create, dataset_delete_effect, orphan_rows, qa_page, qa_detail, qa_without_copies,
     paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, bucketed_probe, keyset_pages, called_pairs, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
     ingest_classify_fuzzy, sim_bound_pairs, sim_pairs_exact, sim_report_exact, sim_pairs, sim_totals_exact, clean_totals_exact, clean_exact, clean_fuzzy, export_items, export_preview, file_items,
@@ -478,6 +482,7 @@ _BASE = "CASE WHEN ends_with(url, '/') THEN url ELSE url || '/' END"
 
 ORACLES = {
     "page_text": f"SELECT page_id, sha256(url) AS url_hash, {_TEXT} AS content FROM pages",
+    "page_text_any": f"SELECT page_id, sha256(url) AS url_hash, {_TEXT} AS content FROM pages",
     "page_text_exact": f"SELECT page_id, sha256(url) AS url_hash, {_TEXT} AS content FROM pages",
     "page_text_stats": f"WITH t AS (SELECT page_id, sha256(url) AS url_hash, {_TEXT} AS c FROM pages) SELECT page_id, url_hash, length(c) AS n_chars, CAST(ceil(length(c) / 800) AS BIGINT) AS n_chunks FROM t",
     "page_agents": "SELECT page_id, 'agent/' || (CAST('0x' || substr(sha256(url), 1, 8) AS BIGINT) % 3 + 1) AS user_agent, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS is_url FROM pages",

@@ -1,11 +1,12 @@
 import hashlib
 import random
+from html import entities, unescape
 
 import pytest
 from pyspark.sql import functions as F
 
-from qaforge.functions import html, paging, text, urls
-from qaforge.schema import checked_page, normalise_threshold
+from qaforge.functions import html, paging, text, urls, variants
+from qaforge.schema import checked_page, normalise_threshold, offered_threshold
 
 SPACES = [chr(i) for i in range(0x3001) if chr(i).isspace()]
 
@@ -91,6 +92,53 @@ def test_html(spark):
     assert one(spark, html.page_text_exact(F.col("t")), t="no body &#233; <i>x") == "no body é x"
 
 
+#: Pages on which the HTML standard and Python's parser agree.
+ODD_PAGES = [
+    PAGE, '<html><body class="a>b">x<p title=\'q > r\'>y</p>z', "no body &#233; <i>x", "a < b and c<3d", "", "<body></body>", None,
+    "<body>a&amp;b &lt;i&gt; &copy &copyx; &notit; &nbsp;| &#x41;&#66 &#0; &#128; &#xD800; &#99999999; &#13;&#xFEFF;z &unknown; & &;",
+    "<body>a<!-- x > y -->b", 'x<script>if (a<b) "</p>"</script >b<style>p{}', "<body>one</body>two", "<head><title>t</title></head>text<br/>more", "x</head>y",
+    '<BODY>U<ScRiPt src="a>b">no</SCRIPT>V', "<body>a<!doctype x>b<?php echo 1 ?>c</3>d", '<body><a href="x=y&amp;z">l</a><img alt="<b>">i', "<body><a b='1' c=\"2>3\" d=4 e>t</a>",
+    "<body>&lt;script&gt;no&lt;/script&gt;", "<p>x<body>y<body>z</body>w<p>v", "&AMP;&ampx&LT;", "<body>a\x00b", "<body>é🎉 &#127881; &bull;&hellip; &#x1F389", "<scripty>shown</scripty><styles>too</styles>",
+    '<body>a</scriptx>b</p ">">c', "<body>\n a\t\tb\xa0\u3000c \n</body>", "<body>x<a title='it=\"s' b>y</a>", "<body><p>" + "word &amp; <b>x</b> " * 3000, "<body><a " + "k='v>' " * 2000 + ">t</a>",
+]
+
+
+def test_text_of_any_page(spark):
+    """The native form equals the parser on odd pages, and no Python is in its plan."""
+    df = spark.createDataFrame(list(enumerate(ODD_PAGES)), "i int, t string")
+    got = df.select("i", html.any_page_text(F.col("t")).alias("native"), html.page_text_exact(F.col("t")).alias("exact")).orderBy("i").collect()
+    assert [r["native"] for r in got] == [r["exact"] for r in got]
+    assert "Python" not in df.select(html.any_page_text(F.col("t")))._jdf.queryExecution().toString()
+    # What a page ends in is no text, as the standard has it.
+    for page, want in (("<body>a <b", "a"), ("<body>a<!-- x", "a"), ("<body>a<!-->b<!--->c-->d", "a b c-->d"), ("&lt;<body", "<")):
+        assert one(spark, html.any_page_text(F.col("t")), t=page) == want
+
+
+def test_references(spark):
+    rng = random.Random(2)
+    names = [*rng.sample(sorted(entities.html5), 200), "bogus;", "ampersand", "#", "#x", "#x;", "#0", "#00065;", "#x000041", "#xFFFE;", "#127;", "#150;", "#1114112;", "#9", "#12;", "#11;"]
+    texts = ["".join(f"&{rng.choice(names)}{rng.choice(['', ' ', 'x', ';', '1', 'z'])}" for _ in range(6)) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", html.unescaped(F.col("t")).alias("u")).collect()
+    assert {r["i"]: r["u"] for r in got} == {i: unescape(t) for i, t in enumerate(texts)}
+
+
+def test_variants(spark):
+    cases = [
+        ('{"a":null,"c":[1,"x",null]}', "null", None, ["1", "x", None]), ('{"b":1,"c":0}', "missing", "default", []), ("not json", "missing", "default", []), (None, "missing", "default", []),
+        ('{"a":"s","c":"one"}', "string", "s", ["one"]), ('{"a":1.5,"c":""}', "number", "1.5", []), ('{"a":true,"c":false}', "boolean", "true", []), ('{"a":[1],"c":{"q":1}}', "array", None, ['{"q":1}']),
+        ('{"a":{},"c":[]}', "object", None, []), ("[1]", "missing", "default", []), ('{"a":"","c":true}', "string", "", ["true"]), ('{"a":' + '"x' + "y" * 50_000 + '"}', "string", "x" + "y" * 50_000, []),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").withColumn("v", variants.parsed(F.col("t")))
+    v = F.col("v")
+    rows = df.select("i", variants.kind(variants.value(v, "$.a")).alias("k"), variants.field(v, "$.a", "string", F.lit("default")).alias("f"), variants.items(variants.value(v, "$.c")).cast("array<string>").alias("c"), variants.field(v, "$.a", "double", F.lit(7.0)).alias("d")).orderBy("i").collect()
+    assert [(r["k"], r["f"], r["c"]) for r in rows] == [c[1:] for c in cases]
+    assert [r["d"] for r in rows][:6] == [None, 7.0, 7.0, 7.0, None, 1.5]
+
+
+def test_offered_thresholds():
+    assert [offered_threshold(x) for x in (0, 0.1, 0.12, 0.13, 0.9, 0.97, 0.98, 1, 7, "0.5", "x", float("nan"))] == [0.1, 0.1, 0.1, 0.15, 0.9, 0.95, 1.0, 1.0, 1.0, 0.5, 0.9, 1.0]
+
+
 def test_threshold_and_page():
     assert [normalise_threshold(x) for x in ("invalid", None, 1.5, -0.5, "0.7", float("nan"))] == [0.9, 0.9, 1.0, 0.0, 0.7, 1.0]
     assert checked_page(1000, 0) == (1000, 0)
