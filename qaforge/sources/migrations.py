@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .versions import VersionedTable
+from ..schema import CLEANED, DATASETS, QA_SOURCES, SNAPSHOTS
+from .versions import Conflict, VersionedTable
 
 Rows = Callable[[DataFrame], DataFrame]
 
@@ -102,3 +103,25 @@ class Migrations:
         """Down to the first schema and up again: columns that steps add have their defaults."""
         self.migrate(table, 1)
         return self.migrate(table)
+
+
+#: The engine's tables: schema, key and steps.
+TABLES = {"datasets": (DATASETS, None, ()), "page_snapshots": (SNAPSHOTS, "dataset_id", ()), "cleaned_texts": (CLEANED, None, ()), "qa_sources": (QA_SOURCES, "dataset_id", QA_STEPS)}
+
+
+def open_tables(spark: SparkSession, root: str) -> dict[str, VersionedTable]:
+    """The engine's tables under a folder. Those that don't exist are created empty, in the newest schema; those of an older one
+    are taken up. Any number of processes may do so at once: one of them creates or migrates, the others find it done."""
+    out = {}
+    for name, (schema, by, steps) in TABLES.items():
+        table, known = VersionedTable(spark, f"{root.rstrip('/')}/{name}", by), Migrations(steps)
+        try:
+            if table.latest() is None:
+                known.create(table, spark.createDataFrame([], schema))
+            elif known.needed(table):
+                known.migrate(table)
+        except (Conflict, ValueError):
+            if known.needed(table):  # nobody else did it
+                raise
+        out[name] = table
+    return out
