@@ -17,8 +17,9 @@ def strip(c: Column) -> Column:
 
 
 def collapse(c: Column) -> Column:
-    """Strip, and one space for each run of white space. Runs that are one space already match nothing."""
-    return F.trim(F.regexp_replace(c, f" {WS}+|(?! ){WS}{WS}*", " "))
+    """Strip, and one space for each run of white space: all of it becomes spaces, then runs of those, where there are any, one."""
+    spaced = F.translate(c, _WS_CHARS, " " * len(_WS_CHARS))
+    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
 
 
 def sha256(c: Column) -> Column:

@@ -17,7 +17,7 @@ from ..sources import buckets, clustered
 from ..sources.migrations import QA_STEPS, Migrations
 from ..sources.store import new_path
 from ..sources.versions import VersionedTable
-from . import flows, models
+from . import flows, models, prompts
 
 CLOCK = "2024-01-01 00:00:00"
 AGENTS = ["agent/1", "agent/2", "agent/3"]
@@ -328,6 +328,84 @@ def migrated(spark, d):
     return steps.read(table).groupBy("dataset_name", "human_reviewed").agg(F.count("*").alias("n"), F.count("seq").alias("n_seq"), F.sum("question_length").alias("question_chars"))
 
 
+def _first_of_each_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).where("_n = 1").drop("_n")
+
+
+def rows_inserted(spark, d):
+    """Labelled rows, and the others whose ids they lack, inserted as one batch."""
+    rows = _first_of_each_id(_with_ids(qa_docs(spark, d))).select("id", "seq", "dataset_name", "labelled")
+    all_rows = qa.inserted(rows.where("labelled"), rows.where("NOT labelled"))
+    return all_rows.groupBy("dataset_name").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+def rows_updated(spark, d):
+    """One row reviewed: the one of the least id has another confidence, all others theirs."""
+    rows = _first_of_each_id(_with_ids(qa_docs(spark, d))).select("id", "seq", "confidence")
+    first = rows.agg(F.min("id")).first()[0]
+    return rows if first is None else qa.updated(rows, first, confidence=F.lit(0.125))
+
+
+def datasets_created(spark, d):
+    """Datasets of all sources, one more for each language, and a new description for the first."""
+    docs = _table(spark, d, "documents")
+    tongues = docs.select(F.concat(F.lit("language "), "lang").alias("name"), F.lit("by language").alias("description")).where("name IS NOT NULL").distinct()
+    sets = catalog.create(datasets(spark, d), tongues, _clock())
+    first = sets.orderBy("name").first()
+    sets = sets if first is None else catalog.described(sets, first["id"], "first of all")
+    return sets.select("id", "name", "description")
+
+
+def tables_after_delete(spark, d):
+    """Rows of the four tables once the datasets of even names are deleted with all that belongs to them."""
+    rows, sets = qa_docs(spark, d).select("seq", "dataset_id"), datasets(spark, d)
+    snapshots = rows.select(F.col("seq").alias("id"), "dataset_id")
+    cleaned = snapshots.where("id % 3 = 0").select(F.col("id").alias("page_snapshot_id"), (F.col("id") % 2).alias("part"))
+    left = catalog.deleted(sets.where("name RLIKE '[02468]$'").select("id"), sets, rows, snapshots, cleaned)
+    out = None
+    for name in ("datasets", "qa", "snapshots", "cleaned"):
+        one = left[name].agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def export_files(spark, d):
+    """Rows written as JSON lines, as JSON arrays and as CSV, and read back."""
+    rows, out = qa_rows(spark, d), None
+    for kind in ("jsonl", "json", "csv"):
+        path = new_path(spark, f"export-{kind}")
+        export.write(rows, path, kind)
+        kinds = "id string, question string, answer string, context string, source_url string, confidence double, created_at string, dataset_id string"
+        if kind == "csv":
+            read = spark.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        else:
+            read = spark.read.schema(kinds).option("multiLine", kind == "json").json(path)
+        one = read.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.sum(F.length("question")).alias("question_chars"), F.sum(F.length(F.replace("context", F.lit("\r"), F.lit("\n")))).alias("context_chars"), F.count_if(F.col("confidence") > 0).alias("n_confident"), F.countDistinct("id").alias("n_ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def model_prompts(spark, d):
+    """Digests of what served models would be sent, and settings read as names and lists."""
+    t, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("fr"))
+    listed = text.parsed_list(F.concat_ws(" , ", "source", "lang"), ["none"])
+    return _table(spark, d, "documents").select(
+        "doc_id",
+        text.sha256(prompts.cleaning(t)).alias("cleaning"),
+        text.sha256(prompts.generation(t, lang)).alias("generation"),
+        text.sha256(prompts.enrichment(t)).alias("enrichment"),
+        text.enum_name(F.concat(F.coalesce("source", F.lit("")), F.lit("-v-1"))).alias("name"),
+        F.array_join(listed, "|").alias("listed"),
+    )
+
+
+def run_counters(spark, d):
+    """Counters observed while the new rows of an ingest are written."""
+    found, path = _classified(spark, d, 1.0, 1.0), new_path(spark, "ingested")
+    counted = flows.stored(found.select("id", "type"), lambda rows: rows.write.parquet(path), 20)
+    return counted.select("urls_processed", "total_questions", "stored", "exact_duplicates", "similar_duplicates")
+
+
 def bucketed_probe(spark, d):
     """Which of the incoming rows the store has, the store bucketed by id and left in place."""
     path, rows = new_path(spark, "store"), _with_ids(qa_docs(spark, d))
@@ -459,7 +537,7 @@ def file_items(spark, d):
 QUERIES = {f.__name__: f for f in (
     page_text, page_text_exact, page_text_any, page_text_stats, page_agents, url_clean, export_names, doc_chunks, chunk_counts, doc_content_id, exact_dup_groups, clean_text,
     known_languages, truncated_questions, dataset_list, dataset_headers, get_or_create, dataset_delete_effect, orphan_rows, qa_page, qa_detail, qa_without_copies,
-    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, bucketed_probe, keyset_pages, called_pairs, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
+    paging_math, qa_validate, qa_validate_strict, qa_build_rows, qa_json_fields, json_defaults, commits, migrated, rows_inserted, rows_updated, datasets_created, tables_after_delete, export_files, model_prompts, run_counters, bucketed_probe, keyset_pages, called_pairs, enrich_rows, generate_rows, ingest_classify_exact, ingest_counters,
     ingest_classify_fuzzy, sim_bound_pairs, sim_pairs_exact, sim_report_exact, sim_pairs, sim_totals_exact, clean_totals_exact, clean_exact, clean_fuzzy, export_items, export_preview, file_items,
 )}
 
@@ -526,6 +604,19 @@ ORACLES = {
       WHERE dataset_name <> last AND (dataset_name <> first OR seq % 2 = 0) GROUP BY dataset_name""",
     "migrated": f"""{_IDS} SELECT dataset_name, false AS human_reviewed, count(*) + count(*) FILTER (labelled) AS n, CAST(0 AS BIGINT) AS n_seq,
       CAST(sum(length(question)) + coalesce(sum(length(question)) FILTER (labelled), 0) AS BIGINT) AS question_chars FROM qa GROUP BY dataset_name""",
+    "rows_inserted": f"{_IDS}, f AS (SELECT * FROM qa QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) SELECT dataset_name, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM f GROUP BY dataset_name",
+    "rows_updated": f"{_IDS}, f AS (SELECT * FROM qa QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq) = 1) SELECT id, seq, CASE WHEN id = (SELECT min(id) FROM f) THEN 0.125::DOUBLE ELSE confidence END AS confidence FROM f",
+    "datasets_created": f"""WITH {_DATASETS}, a AS (SELECT * FROM datasets UNION ALL SELECT DISTINCT sha256('dataset:language ' || lang), 'language ' || lang, 'by language' FROM documents WHERE lang IS NOT NULL)
+      SELECT id, name, CASE WHEN name = (SELECT min(name) FROM a) THEN 'first of all' ELSE description END AS description FROM a""",
+    "tables_after_delete": """WITH g AS (SELECT doc_id, source, regexp_matches(source, '[02468]$') AS gone FROM documents)
+      SELECT 'datasets' AS name, count(DISTINCT source) AS n FROM g WHERE NOT gone UNION ALL SELECT 'qa', count(*) FROM g WHERE NOT gone
+      UNION ALL SELECT 'snapshots', count(*) FROM g WHERE NOT gone UNION ALL SELECT 'cleaned', count(*) FROM g WHERE NOT gone AND doc_id % 3 = 0""",
+    "export_files": f"""{_IDS} SELECT kind, count(*) AS n, CAST(sum(length(question)) AS BIGINT) AS question_chars, CAST(sum(length(context)) AS BIGINT) AS context_chars,
+      count(*) FILTER (confidence > 0) AS n_confident, count(DISTINCT id) AS n_ids FROM qa, (VALUES ('jsonl'), ('json'), ('csv')) AS k(kind) GROUP BY kind""",
+    "model_prompts": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, 'fr') AS l, source, lang FROM documents)
+      SELECT doc_id, sha256('{prompts.CLEANING}' || substr(t, 1, 10000)) AS cleaning, sha256(replace('{prompts.GENERATION.replace("'", "''")}', '%s', l) || t) AS generation,
+        sha256('{prompts.ENRICHMENT}' || t) AS enrichment, replace(coalesce(source, '') || '-v-1', '-', '_') AS name, concat_ws('|', source, lang) AS listed FROM t""",
+    "run_counters": f"{_STORE} SELECT CAST(20 AS BIGINT) AS urls_processed, count(*) AS total_questions, count(*) FILTER (NOT dup) AS stored, count(*) FILTER (dup) AS exact_duplicates, CAST(0 AS BIGINT) AS similar_duplicates FROM batch",
     "bucketed_probe": f"{_IDS} SELECT seq, id, id IN (SELECT id FROM qa WHERE labelled) AS exists FROM qa WHERE NOT labelled",
     "keyset_pages": f"""{_IDS}, l AS (SELECT dataset_id FROM qa GROUP BY dataset_id ORDER BY count(*) DESC, dataset_id LIMIT 1),
       n AS (SELECT id, seq, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM qa SEMI JOIN l USING (dataset_id))
