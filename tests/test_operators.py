@@ -86,6 +86,39 @@ def test_the_common_subsequence_bound_loses_nothing():
         assert threshold < 0.8 or sum(may) < 1.2 * sum(r >= threshold for r in ratios)
 
 
+def test_candidates_lose_nothing():
+    """Whatever the lengths, with and without popular characters, of both methods; and few pairs are left."""
+    rng = random.Random(5)
+    for letters in ("ab", "the on and tion re ÉXQZ12345,.日本🎉\ud800"):
+        for size in (0, 1, 3, 40, 199, 215, 700):
+            texts = ["", *("".join(rng.choice(letters) for _ in range(int(size * rng.uniform(0.8, 1.2)))) for _ in range(5))]
+            for t in texts[1:]:
+                texts += ["".join(rng.choice(["", c, c + rng.choice(letters)]) if rng.random() < share else c for c in t) for share in (0.05, 0.2, 0.4)]
+            ratios = {(i, j): SequenceMatcher(None, a, b).ratio() for i, a in enumerate(texts) for j, b in enumerate(texts)}
+            for threshold in (0.3, 0.8, 0.9):
+                found = set(zip(*(x.tolist() for x in sequences.candidates(texts, texts, threshold))))
+                assert {p for p, r in ratios.items() if r >= threshold} <= found
+    prose = ["".join(rng.choice(["the ", "on ", "tion ", "re", "and ", "in", "of ", "es ", "qu", "Ver ", "k"]) for _ in range(120)) for _ in range(300)]
+    assert len(sequences.candidates(prose, [*prose, prose[0] + "x"], 0.8)[0]) == 301
+    # Many short texts take their steps together.
+    short = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(60, 90))) for _ in range(200)]
+    short += [t[:5] + "zz" + t[9:] for t in short[:50]]
+    want = {(i, j) for i, a in enumerate(short) for j, b in enumerate(short) if (m := SequenceMatcher(None, a, b)).quick_ratio() >= 0.8 and m.ratio() >= 0.8}
+    assert want <= set(zip(*(x.tolist() for x in sequences.candidates(short, short, 0.8))))
+
+
+def test_texts_of_one_key_are_dealt_into_cells_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CELL_TEXTS", 8)
+    rng = random.Random(8)
+    texts = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(8, 30))) for _ in range(60)})
+    df = spark.createDataFrame([(t,) for t in texts], "a string").withColumn("k", F.lit(None).cast("string"))
+    ours, theirs = similarity._dealt(df, df.withColumnRenamed("a", "b"), ["k"], 0.6)
+    assert ours.groupBy("_cell").count().agg(F.max("count")).first()[0] < 24 and ours.select("_cell").distinct().count() > 20
+    got = similarity.similar_texts(df, df.withColumnRenamed("a", "b"), ["k"], 0.6).collect()
+    want = {(a, b): r for a in texts for b in texts if (r := SequenceMatcher(None, a, b).ratio()) >= 0.6}
+    assert {(r["a"], r["b"]): r["ratio"] for r in got} == want and len(got) == len(want)
+
+
 def test_totals(spark):
     rows = rows_of(spark, ["a question of mine", "a question of mine?", "other"]).unionByName(rows_of(spark, ["alone"], dataset="e"))
     found = similarity.totals(rows, similarity.analyze(rows, 0.8))
@@ -179,6 +212,20 @@ def test_classes(spark):
     assert (got[10]["duplicate_id"], got[10]["similarity_score"], got[13]["duplicate_id"], got[13]["similarity_score"]) == (ids[0], 1.0, None, 0.0)
 
 
+def test_contexts_are_compared_once_for_all_copies(spark, monkeypatch):
+    """Copies make no pairs of their own, and no context goes along with a pair of questions."""
+    kept = []
+    monkeypatch.setattr(dedup, "staged", lambda df, label: kept.append((label, df)) or df)
+    long = "A context that is long enough to be compared with others in this test. " * 3
+    store = items(spark, [(i, "What is this question?", long + "x" * (i // 10), "u") for i in range(20)] + [(99, "What is this question?", "else", "u")])
+    batch = items(spark, [(100 + i, "What is that question?", long, "u") for i in range(10)] + [(200, "What is that question?", "els", "u")])
+    found = {r["seq"]: (r["type"], r["duplicate_id"]) for r in dedup.classify(batch, store, 0.8).collect()}
+    first = store.where("seq = 0").first()["id"]
+    assert found == {**{100 + i: ("similar", first) for i in range(10)}, 200: ("new", None)}
+    (pairs,) = [df for label, df in kept if label == "pairs-of-classes"]
+    assert pairs.count() == 2 and not {"ca", "cb"} & set(pairs.columns)
+
+
 def test_a_batch_is_not_compared_with_itself(spark):
     store = items(spark, [(0, "Nothing alike at all", "c", "u")])
     batch = items(spark, [(1, "New question 1?", "ctx", "u"), (2, "New question 2?", "ctx", "u"), (3, "New question 2?", "ctx", "u")])
