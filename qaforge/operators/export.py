@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dataset_name
+from ..sources.store import bounded_batches
 from .qa import flat
 
 
@@ -72,6 +73,7 @@ def outcome(sent: DataFrame) -> DataFrame:
 def write(qa: DataFrame, path: str, kind: str) -> None:
     """jsonl: one object a line. json: one array of objects for each file. csv: quoted, with a header."""
     rows = flat(qa)
+    bounded_batches(qa.sparkSession)
     if kind == "jsonl":
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":

@@ -185,6 +185,18 @@ def test_report(spark):
     assert similarity.analyze(rows_of(spark, []).where("false"), 0.8).count() == 0
 
 
+def test_a_report_is_numbered_in_slices(spark):
+    """No task sorts all pairs of a dataset, and the places are those of one sort."""
+    rng = random.Random(4)
+    rows = rows_of(spark, [rng.choice(["What is Python?", "What was Python?", "Who is it then?", "Who was it then?"]) for _ in range(60)])
+    report = similarity.analyze(rows, 0.8)
+    got = [(r["similarity"], r["record1_id"], r["record2_id"]) for r in sorted(report.collect(), key=lambda r: r["place"])]
+    pairs = similarity.similar_pairs(rows, 0.8).collect()
+    assert got == [(r["rounded"], r["id1"][:8], r["id2"][:8]) for r in sorted(pairs, key=lambda r: (-r["rounded"], r["seq1"], r["seq2"]))]
+    windows = [x for x in report._jdf.queryExecution().optimizedPlan().toString().split("\n") if "row_number()" in x]
+    assert windows and all("_slice" in x.split("row_number()")[1] for x in windows)
+
+
 def test_fuzzy_join_is_a_hash_join(spark):
     plan = similarity.similar_pairs(rows_of(spark, ["a", "b"]), 0.9)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
@@ -345,3 +357,18 @@ def test_export(spark, tmp_path):
     assert spark.read.option("multiLine", True).json(str(tmp_path / "json")).count() == 5
     with pytest.raises(ValueError):
         export.write(rows, str(tmp_path / "x"), "xml")
+
+
+def test_the_bytes_of_a_batch_are_bounded(spark, tmp_path):
+    """Rows are long texts: a batch of them by number alone takes the memory of an executor's Python."""
+    from qaforge.llm import decontamination, packing
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    rows = dedup.build_rows(spark.createDataFrame([("What?", "An answer", "c", 1.0, "u", 0, "d")], "question string, answer string, context string, confidence double, source_url string, index int, dataset_id string"), clock()).withColumn("created_at", clock())
+    before = spark.conf.get(key, None)
+    for step in (lambda: export.write(rows, str(tmp_path / "out"), "json"), lambda: decontamination.proximity_matches(docs, docs.select(F.col("doc_id").alias("item_id"), "text")), lambda: packing.document_pieces(docs, "none")):
+        spark.conf.unset(key)
+        step()
+        assert spark.conf.get(key, None) == "4m"
+    spark.conf.set(key, before) if before else spark.conf.unset(key)
