@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pieces, words
-from .shared import doc_text, table, written
+from .shared import bounded_batches, doc_text, table, written
 
 
 def lower_bound(histogram: np.ndarray) -> int:
@@ -141,6 +141,7 @@ def document_pieces(docs: DataFrame, vocab_path: str, capacity: int = 1024, end_
                     begin += total
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    bounded_batches(docs.sparkSession)
     return doc_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -17,7 +17,7 @@ import regex
 
 _SPACE_RUNS = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
 _JOINED = 256  # pre-tokens that go to the library as one text
-GROUP = 4 << 20  # bytes of text that are encoded at once, a longer text by itself
+GROUP = 1 << 20  # bytes of text that are encoded at once, a longer text by itself
 #: The pre-tokenizer's pattern (fixed by the vocabulary), and characters on which it depends in no Unicode version.
 _PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _PLAIN = re.compile("[\n!-~\u00a1-\u024f\u2010-\u2027]+")
