@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import free_names, release, table, written
+from .shared import drop, free_names, release, table, written
 from .words import mix
 
 WINDOW = 16  # words of a passage's unit
@@ -117,6 +117,7 @@ def repeats(docs: DataFrame, min_words: int = 10, min_chars: int = 40, window: i
     groups = written(found.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeated-digests")
     release(docs.sparkSession)
     again = written(found.join(groups, "digest"), "repeated-units")
+    drop(groups)
     release(docs.sparkSession)
     # Different texts under the id of the first occurrence: the least hash stays.
     earliest = again.where("doc = first_doc")
