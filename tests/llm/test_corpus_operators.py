@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -391,6 +392,62 @@ def test_language_model_scores_by_hand(spark, monkeypatch, head, least, pairs):
         assert sum(share(tokens, i, w) for w in [*c, "never seen"]) == pytest.approx(1, rel=1e-4)
 
 
+def test_language_model_step():
+    """A step against plain loops over its tokens; all of it takes less time than sums over sorted rows alone."""
+    rng = np.random.default_rng(5)
+    kinds, rows, classes = language_model.KINDS, language_model.ROWS, language_model.CLASSES
+    n = 3000  # not a whole number of blocks; few rows, so most are shared by many tokens and nearly all others are not there
+    at = np.stack([rng.integers(0, 40, n) * 200 + k * rows for k in range(kinds)])
+    label = rng.integers(0, classes, n)
+    weights, squares = rng.normal(size=(kinds * rows, classes)).astype(np.float32), rng.random(kinds * rows).astype(np.float32)
+    seen, bias = np.zeros(kinds * rows, np.float32), rng.normal(size=classes).astype(np.float32)
+    z = bias + sum(weights[at[k]].astype(np.float64) for k in range(kinds))
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    g[np.arange(n), label] -= 1
+    want, of_squares, of_seen = weights.astype(np.float64), squares.astype(np.float64), Counter(at.ravel().tolist())
+    for row in of_seen:
+        own = sum(g[at[k] == row].sum(axis=0) for k in range(kinds))
+        of_squares[row] += (own**2).mean()
+        want[row] -= language_model.RATE * own / np.sqrt(of_squares[row] + 1)
+    language_model._step(weights, squares, seen, bias, at, label)
+    assert np.allclose(weights, want, rtol=0, atol=1e-4) and np.allclose(squares, of_squares, rtol=1e-3)
+    assert {int(r): int(seen[r]) for r in np.flatnonzero(seen)} == of_seen
+
+    n = language_model.BATCH
+    at = np.stack([rng.integers(0, rows, n) + k * rows for k in range(kinds)])
+    label, numbers = rng.integers(0, classes, n), rng.normal(size=(n, classes)).astype(np.float32)
+    order = [np.argsort(k, kind="stable") for k in at]
+    first = [np.flatnonzero(np.diff(k[o], prepend=-1)) for k, o in zip(at, order)]
+
+    def step():
+        language_model._step(weights, squares, seen, bias, at, label)
+
+    def sums():
+        for o, f in zip(order, first):
+            np.add.reduceat(numbers[o], f, axis=0)
+
+    took = {step: [], sums: []}
+    for _ in range(25):
+        for f in took:
+            start = time.thread_time()
+            f()
+            took[f].append(time.thread_time() - start)
+    assert min(took[step]) < min(took[sums])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_index_of_hashes(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(words.mix(np.arange(n, dtype=np.uint64)))
+    # Some that share all of their first bits, so that they stand in one list, and the least and the largest number.
+    keys = rng.permutation(np.union1d(keys, np.uint64(3 << 62) + np.arange(min(n, 40), dtype=np.uint64)))
+    keys = np.union1d(keys, np.array([0, (1 << 64) - 1], np.uint64)) if n > 2 else keys
+    index, place = language_model.Index(keys), {int(k): i for i, k in enumerate(keys)}
+    asked = np.concatenate([keys, keys + np.uint64(1), words.mix(np.arange(2 * n + 5, dtype=np.uint64)), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert index.places(asked).tolist() == [place.get(int(k), -1) for k in asked]
+    assert index.places(asked[:0]).tolist() == []
+
+
 def test_language_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b")], DOCS)
     model = language_model.fit(df.limit(0).select("text"))
