@@ -12,6 +12,9 @@ from ..functions.text import dataset_name
 from ..sources.store import bounded_batches
 from .qa import flat
 
+#: Characters of the arrays that JSON files hold, about; a longer row has a file of its own.
+ARRAY_CHARS = 1 << 24
+
 
 def _json(c: str) -> Column:
     return F.to_json(c, {"ignoreNullFields": "false"})
@@ -71,7 +74,10 @@ def outcome(sent: DataFrame) -> DataFrame:
 
 
 def write(qa: DataFrame, path: str, kind: str) -> None:
-    """jsonl: one object a line. json: one array of objects for each file. csv: quoted, with a header."""
+    """jsonl: one object a line. json: one array of objects for each file. csv: quoted, with a header.
+
+    Readers hold an array as a whole, so a task writes files of about ARRAY_CHARS characters, as many as its rows need.
+    """
     rows = flat(qa)
     bounded_batches(qa.sparkSession)
     if kind == "jsonl":
@@ -81,13 +87,21 @@ def write(qa: DataFrame, path: str, kind: str) -> None:
     elif kind == "json":
 
         def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            opened = False
-            for batch in batches:
-                lines = [("," if opened or i else "[") + x for i, x in enumerate(batch.column("value").to_pylist())]
-                opened = opened or bool(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-            yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"])], ["value"])
+            def array() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(["[" + "\n,".join(held) + "]"], pa.string())], ["value"])
 
-        rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
+            held, size, made = [], 0, False
+            for batch in batches:
+                for row in batch.column("value").to_pylist():
+                    if held and size + len(row) > ARRAY_CHARS:
+                        yield array()
+                        held, size, made = [], 0, True
+                    held.append(row)
+                    size += len(row)
+            if held or not made:
+                yield array()
+
+        # A row of the written table is one whole array, and a file has one such row.
+        rows.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(arrays, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     else:
         raise ValueError(f"kind must be jsonl, json or csv, not {kind!r}")

@@ -359,6 +359,21 @@ def test_export(spark, tmp_path):
         export.write(rows, str(tmp_path / "x"), "xml")
 
 
+def test_json_arrays_are_bounded(spark, tmp_path, monkeypatch):
+    """A reader holds a file's array as a whole, so a partition of any size is cut into several files."""
+    import json
+
+    monkeypatch.setattr(export, "ARRAY_CHARS", 1000, raising=False)
+    rows = stored(spark, 40).coalesce(1)
+    export.write(rows, str(tmp_path / "many"), "json")
+    files = sorted((tmp_path / "many").glob("part-*"))
+    arrays = [json.loads(f.read_text()) for f in files]
+    assert len(files) > 5 and all(arrays) and max(f.stat().st_size for f in files) < 1200
+    assert sorted(x["question"] for a in arrays for x in a) == sorted(r["question"] for r in qa.flat(rows).collect())
+    export.write(rows.limit(0).coalesce(1), str(tmp_path / "none"), "json")
+    assert spark.read.schema("id string").option("multiLine", True).json(str(tmp_path / "none")).count() == 0
+
+
 def test_the_bytes_of_a_batch_are_bounded(spark, tmp_path):
     """Rows are long texts: a batch of them by number alone takes the memory of an executor's Python."""
     from qaforge.llm import decontamination, packing
