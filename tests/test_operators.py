@@ -359,6 +359,60 @@ def test_export(spark, tmp_path):
         export.write(rows, str(tmp_path / "x"), "xml")
 
 
+def _many_copies(spark, n: int):
+    """Questions with copies, near copies and empty ones, in two datasets, of mixed confidence and age."""
+    import random
+
+    of, words = random.Random(5), "what is the old red house on a hill by our small lake called now".split()
+    texts = [" ".join(of.choice(words) for _ in range(of.choice([3, 8, 60]))) + "?" for _ in range(n // 6)]
+    texts += [t[:-1] + of.choice(["!", " x?", "??"]) for t in texts[: n // 12]] + ["", None]
+    rows = [(of.choice("de"), i, f"{i:09d}", of.choice(texts), of.choice([0.0, 0.5, 1.0, None]), of.choice([None, "2024-01-01 00:00:00", "2024-01-02 00:00:00"])) for i in of.sample(range(3 * n), n)]
+    qa_ = spark.createDataFrame(rows, "dataset_id string, seq long, id string, question string, confidence double, created_at string")
+    return qa_.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+def test_pairs_are_numbered_and_cleaned_without_being_made(spark, monkeypatch):
+    """What lists and steps of rows give equals what all pairs give, in cells of any size."""
+    monkeypatch.setattr(similarity, "CELL_TEXTS", 7)
+    monkeypatch.setattr(similarity, "SLICES", 5)
+    rows, sort = _many_copies(spark, 150).cache(), lambda df: sorted(map(tuple, df.collect()))
+    for threshold in (1.0, 0.8):
+        report = sort(similarity.analyze(rows, threshold))
+        assert len(report) > 100 and report == sort(similarity._analyzed_pairs(rows, threshold))
+    lost = sort(similarity.losers(rows, 0.8))
+    assert len(lost) > 20 and lost == sort(similarity._lost_pairs(rows, 0.8).select("dataset_id", "remove_seq", "keep_seq", "similarity"))
+    twice = rows.unionByName(rows.limit(9))
+    assert similarity.analyze(twice, 1.0).count() == similarity.similar_pairs(twice, 1.0).count()
+    rows.unpersist()
+
+
+def test_shuffled_bytes_follow_rows_not_pairs(spark):
+    """600 equal questions are 179,700 pairs, which are made by the last join."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    rows = spark.range(600).select(F.lit("d").alias("dataset_id"), F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("id"), F.lit("What is it?").alias("question"), F.lit(1.0).alias("confidence"), F.timestamp_add("MINUTE", F.col("id").cast("int"), clock()).alias("created_at"))
+    for step, n in ((lambda: similarity.analyze(rows, 1.0), 179_700), (lambda: similarity.losers(rows, 0.8), 599)):
+        before = written()
+        got = step().agg(F.count("*"), *([F.min("place"), F.max("place")] if n > 600 else [F.max("keep_seq")])).first()
+        assert tuple(got) == ((n, 1, n) if n > 600 else (n, 0))
+        assert written() - before < 300_000
+
+
+def test_candidates_in_both_orders(spark):
+    """A text pair that is similar in one order only is found, whichever comes first; difflib's ratio depends on the order."""
+    import random
+    from difflib import SequenceMatcher
+
+    of = random.Random(3)
+    texts = ["".join(of.choice("abcdefgh" * 4 + "xyzuvwqjk") for _ in range(of.randint(150, 260))) for _ in range(12)]
+    texts += ["".join(x for x in t if of.random() > 0.06) for t in texts] + ["".join(of.choice("ab") if of.random() < 0.1 else x for x in t) for t in texts]
+    for threshold in (0.6, 0.8, 0.9):
+        reached = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if SequenceMatcher(None, a, b).ratio() >= threshold}
+        once = {tuple(sorted(x)) for x in zip(*(x.tolist() for x in sequences.candidates(texts, texts, threshold, both=True, once=True)))}
+        half = set(zip(*(x.tolist() for x in sequences.candidates(texts[:18], texts[18:], threshold, both=True))))
+        assert reached and {tuple(sorted(x)) for x in reached} <= once
+        assert {(min(x), max(x) - 18) for x in reached if min(x) < 18 <= max(x)} <= half
+
+
 def test_json_arrays_are_bounded(spark, tmp_path, monkeypatch):
     """A reader holds a file's array as a whole, so a partition of any size is cut into several files."""
     import json
