@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import content_id, sha256
 from ..schema import CONTEXT_SIMILARITY
 from ..sources.store import bounded_batches, staged
-from .similarity import histogram, histogram_bound, length_bound, ratio_udf, similar_texts
+from .similarity import similar_texts
 from .validate import confidence_or_one, required
 
 
@@ -51,31 +51,28 @@ def classify(batch: DataFrame, store: DataFrame, threshold: float = 0.9, context
     empty = F.lit("")
     bounded_batches(batch.sparkSession)
     # Rows that share source, question and context are one class: of the store's, the first by seq counts. Classes have their
-    # contexts' digests in place of contexts, which are long; ratios of equal contexts need no comparison, and lengths and
-    # letters leave few of the others, each pair of which is compared once.
+    # contexts' digests in place of contexts, which are long.
     context = F.coalesce("context", empty)
-    side = lambda df, name: df.select(F.coalesce("source_url", empty).alias("source_url"), F.coalesce("question", empty).alias(f"q{name}"), sha256(context).alias(f"h{name}"), F.length(context).alias(f"l{name}"), F.col("id").alias(f"id_{name}"), F.col("seq").alias(f"seq_{name}"))
+    side = lambda df, name: df.select(F.coalesce("source_url", empty).alias("source_url"), F.coalesce("question", empty).alias(f"q{name}"), sha256(context).alias(f"h{name}"), F.col("id").alias(f"id_{name}"), F.col("seq").alias(f"seq_{name}"))
     a, b = side(new, "a"), side(store, "b")
     texts = lambda df, col, name: df.select("source_url", F.col(col).alias(name)).distinct()
     questions = similar_texts(texts(a, "qa", "a"), texts(b, "qb", "b"), ["source_url"], threshold).select("source_url", F.col("a").alias("qa"), F.col("b").alias("qb"), "ratio")
-    first = b.groupBy("source_url", "qb", "hb", "lb").agg(F.min_by("id_b", "seq_b").alias("id_b"), F.min("seq_b").alias("seq_b"))
-    classes = a.select("source_url", "qa", "ha", "la").distinct()
-    bound = length_bound(F.col("la"), F.col("lb"), context_threshold) | (F.col("ha") == F.col("hb"))
-    pairs = classes.join(questions, ["source_url", "qa"]).join(first, ["source_url", "qb"]).where(bound)
-    pairs = pairs.select("source_url", "qa", "ha", "la", "hb", "lb", "id_b", "seq_b", "ratio")
+    first = b.groupBy("source_url", "qb", "hb").agg(F.min_by("id_b", "seq_b").alias("id_b"), F.min("seq_b").alias("seq_b"))
+    classes = a.select("source_url", "qa", "ha").distinct()
     if context_threshold >= 1:
-        passed = pairs.where("ha = hb")
+        passed = classes.join(questions, ["source_url", "qa"]).join(first.withColumn("ha", F.col("hb")), ["source_url", "qb", "ha"])
     else:
-        pairs = staged(pairs, "pairs-of-classes")
-        same, others = pairs.where("ha = hb"), pairs.where("ha <> hb")
-        wanted = others.select("ha", "hb", "la", "lb").distinct()
-        body = lambda df, name: df.select(sha256(context).alias(f"h{name}"), context.alias(f"c{name}")).dropDuplicates([f"h{name}"])
-        letters = lambda df, name: body(df.join(wanted.select(f"h{name}").distinct(), sha256(context) == F.col(f"h{name}"), "left_semi"), name).select(f"h{name}", histogram(F.col(f"c{name}")).alias(f"g{name}"))
-        if context_threshold > 0:
-            wanted = wanted.join(letters(new, "a"), "ha").join(letters(store, "b"), "hb").where(histogram_bound(F.col("ga"), F.col("gb"), F.col("la"), F.col("lb"), context_threshold))
-        compared = wanted.select("ha", "hb").join(body(new, "a"), "ha").join(body(store, "b"), "hb")
-        contexts = compared.withColumn("_r", ratio_udf(context_threshold)("ca", "cb")).where("_r IS NOT NULL").select("ha", "hb")
-        passed = same.unionByName(others.join(contexts, ["ha", "hb"]))
+        # A question of the batch is in one group, named after the least question it is similar to, and one of the store's in those
+        # of the questions similar to it: few, as these are like each other. So contexts meet in cells of a group, in a number
+        # that follows rows; pairs are made of those that are similar.
+        questions = staged(questions, "similar-questions")
+        group = sha256(F.to_json(F.struct("source_url", "m"))).alias("group")
+        of_a = questions.groupBy("source_url", "qa").agg(F.min("qb").alias("m")).select("source_url", "qa", group)
+        of_b = questions.join(of_a, ["source_url", "qa"]).select("source_url", "qb", "group").distinct()
+        whole = lambda df, of, name: df.select(F.coalesce("source_url", empty).alias("source_url"), F.coalesce("question", empty).alias(f"q{name}"), context.alias(name)).join(of, ["source_url", f"q{name}"]).select("group", name).distinct()
+        alike = similar_texts(whole(new, of_a, "a"), whole(store, of_b, "b"), ["group"], context_threshold).select("group", sha256(F.col("a")).alias("ha"), sha256(F.col("b")).alias("hb"))
+        pairs = staged(classes.join(of_a, ["source_url", "qa"]).join(alike, ["group", "ha"]).drop("group"), "pairs-of-classes")
+        passed = pairs.join(first, ["source_url", "hb"]).join(questions, ["source_url", "qa", "qb"])
     of_class = passed.groupBy("source_url", "qa", "ha").agg(F.min_by(F.struct("id_b", "ratio", "seq_b"), "seq_b").alias("_hit"))
     best = a.join(of_class, ["source_url", "qa", "ha"]).groupBy("id_a", "seq_a").agg(F.min_by("_hit", "_hit.seq_b").alias("_hit"))
     out = probed.join(best.select(F.col("id_a").alias("id"), F.col("seq_a").alias("seq"), "_hit"), ["id", "seq"], "left")

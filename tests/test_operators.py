@@ -397,6 +397,22 @@ def test_shuffled_bytes_follow_rows_not_pairs(spark):
         assert written() - before < 300_000
 
 
+def test_contexts_are_shuffled_by_row_not_by_pair(spark):
+    """One question with many contexts of the same letters: 6400 pairs of contexts, of which one is similar."""
+    of, words = random.Random(9), [f"{x}{y}" for x in "abcdefghij" for y in ("lo", "men", "ta", "rudi", "ses", "ki")] * 5
+    texts = [" ".join(of.sample(words, len(words))) for _ in range(160)]
+    texts[100] = texts[7][:-3] + "end"
+    rows = [(f"i{n}", n, "What is it?" if n % 2 else "What is it then?", t, "u") for n, t in enumerate(texts)]
+    both = spark.createDataFrame(rows, "id string, seq long, question string, context string, source_url string")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before, key = written(), "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, -1)
+    got = dedup.classify(both.where("seq < 80"), both.where("seq >= 80"), 0.8, 0.95).collect()
+    spark.conf.unset(key)
+    assert written() - before < 1_000_000
+    assert [(r["seq"], r["duplicate_id"]) for r in got if r["type"] != "new"] == [(7, "i100")] and len(got) == 80
+
+
 def test_candidates_in_both_orders(spark):
     """A text pair that is similar in one order only is found, whichever comes first; difflib's ratio depends on the order."""
     import random
